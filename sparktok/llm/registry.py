@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import text as T
+from .decontam import contamination
+from .license_scan import license_scan
 from .ngram_join import jaccard_join
+from .secrets import secrets
+from .toxicity import toxic_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +25,26 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that each document holds the wording of."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose score is over the threshold, with their scores."""
+    return toxic_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in each document."""
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _SHINGLES = f"""
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD_RE2}') AS w FROM documents WHERE doc_id IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
@@ -28,11 +52,11 @@ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
 
 SQL6 = f"""
 WITH {_SHINGLES},
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
 SELECT a AS doc_id_a, b AS doc_id_b, c::DOUBLE / (x.n + y.n - c)::DOUBLE AS jaccard
-FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5
 """
 
-QUERIES: dict[str, Query] = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op6_ngram_jaccard_join, op7_secret_scan, op8_benchmark_decontamination)}
 SQL: dict[str, str] = {"op6_ngram_jaccard_join": SQL6}
