@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import text as T
+from .chat import turn_spans
 from .decontam import contamination
+from .langid import language_id
 from .license_scan import license_scan
+from .lm import lm_scores
+from .mixing import copies
 from .ngram_join import jaccard_join
 from .secrets import secrets
+from .topk import top_k
 from .toxicity import toxic_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's place in its conversation's rendering by three templates."""
+    return turn_spans(table(spark, sf_dir, "conversations"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate and copies such that all sources have the same share of tokens."""
+    return copies(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word trigram sets have a Jaccard similarity of 0.5 or more."""
     return jaccard_join(table(spark, sf_dir, "documents"))
@@ -45,6 +65,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model trained on a sample of the labelled ones."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under an interpolated n-gram model of all."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 _SHINGLES = f"""
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD_RE2}') AS w FROM documents WHERE doc_id IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
@@ -58,5 +88,27 @@ FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op6_ngram_jaccard_join, op7_secret_scan, op8_benchmark_decontamination)}
-SQL: dict[str, str] = {"op6_ngram_jaccard_join": SQL6}
+SQL3 = """
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, n) AS r FROM d)
+SELECT q AS query_id, r::BIGINT AS rank, n AS neighbor_id, round(d, 6) AS distance FROM r WHERE r <= 10
+"""
+
+SQL4 = """
+WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER w AS position, length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)) AS n,
+  length('[' || role || '] ' || text || ' [/' || role || ']') AS c
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cbefore,
+  lag(n) OVER w AS n1, lag(role) OVER w AS role1, lead(role) OVER w AS role2 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY position))
+SELECT 'chatml' AS template, conv_id, position, turn, role, 'append' AS status, before::BIGINT AS start, (before + n)::BIGINT AS "end", NULL::BIGINT AS rewritten_at FROM s
+UNION ALL
+SELECT 'closed', conv_id, position, turn, role, 'trailer', (3 + cbefore)::BIGINT, (3 + cbefore + c)::BIGINT, NULL FROM s
+UNION ALL
+SELECT 'reasoning', conv_id, position, turn, role, CASE WHEN role1 = 'assistant' THEN 'rewrite' ELSE 'append' END,
+  (CASE WHEN role1 = 'assistant' THEN before - n1 + 22 ELSE before END)::BIGINT, (before + n + CASE WHEN role = 'assistant' THEN 19 ELSE 0 END)::BIGINT,
+  CASE WHEN role = 'assistant' AND role2 IS NOT NULL THEN position + 1 END FROM s
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_exact_topk, op4_chat_formatting, op5_source_mixing, op6_ngram_jaccard_join, op7_secret_scan, op8_benchmark_decontamination, op9_language_id, op10_lm_scoring)}
+SQL: dict[str, str] = {"op3_exact_topk": SQL3, "op4_chat_formatting": SQL4, "op6_ngram_jaccard_join": SQL6}
