@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,14 +191,17 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, p: Decontam = Deconta
     """The rows of df whose text holds no benchmark item; decided row by row, so nothing is shuffled."""
     out = df
     for items in _chunks(benchmark, p, item_col, item_text):
-        index = df.sparkSession.sparkContext.broadcast(Index(items, p))
-
-        @F.arrow_udf("boolean")
-        def holds(col: pa.Array, index=index) -> pa.Array:
-            flags = np.zeros(len(col), bool)
-            for r, *_ in index.value.scan(col):
-                flags[r] = True
-            return pa.array(flags)
-
+        holds = _holds(df.sparkSession.sparkContext.broadcast(Index(items, p)))
         out = out.where(~holds(F.coalesce(F.lower(F.col(text_col)), F.lit(""))))
     return out
+
+
+def _holds(index: Broadcast[Index]):
+    @F.arrow_udf("boolean")
+    def holds(col: pa.Array) -> pa.Array:
+        flags = np.zeros(len(col), bool)
+        for r, *_ in index.value.scan(col):
+            flags[r] = True
+        return pa.array(flags)
+
+    return holds
