@@ -14,7 +14,7 @@ from .vocab import Vocab
 CLASSES = {(1, 2): "letter", (3, 3): "number", (2, 2): "blank", (2, 3): "whitespace", (3, 2): "newline", (2, 1): "other"}
 #: Combining marks by the Unicode version that brought them: reordered before U+0334 only by a table that knows them.
 LADDER = [(0x8D4, "9.0"), (0x1DFB, "9.0"), (0x1E000, "9.0"), (0xD3B, "10.0"), (0x1DF6, "10.0"), (0x8D3, "11.0"), (0x9FE, "11.0"), (0x10D24, "11.0"), (0xEBA, "12.0"), (0x1E130, "12.0"), (0x1ABF, "13.0"), (0x10EAB, "13.0"), (0x898, "14.0"), (0x10F82, "14.0"), (0x10EFD, "15.0"), (0x1E4EC, "15.0")]
-NORMS = ["é", "한", "q̣̇", "Å", "豈", "ﬁ", "①", "\U0001d15e"]
+NORMS = ["é", "한", "q̣̇", "Å", "豈", "ﬁ", "①", "\U0001d15e", "क़", "̀"]
 GOLDEN = ["Hello, world!", "it's 'ſx IT'S", " 5 apples  and\n\nmore ", "日本語と한국어", "x\t\ty \r\n z", "π≈3.14159", "👩‍🚀 emoji"]
 
 
@@ -47,7 +47,7 @@ def class_ranges(sweep: DataFrame) -> DataFrame:
 def nfc_sweep(spark: SparkSession) -> DataFrame:
     """cp, form, hex: what NFC makes of each character alone, after a letter, and before and after a mark; only where it changes the text."""
     c = character()
-    forms = F.array(*(F.struct(F.lit(n).alias("form"), t.alias("t")) for n, t in (("alone", c), ("after", F.concat(F.lit("a"), c)), ("before", F.concat(c, F.lit("́"))), ("mark", F.concat(F.lit("ạ̴"), c)))))
+    forms = F.array(*(F.struct(F.lit(n).alias("form"), t.alias("t")) for n, t in (("alone", c), ("after", F.concat(F.lit("a"), c)), ("before", F.concat(c, F.lit("́"))), ("mark", F.concat(F.lit("ạ̴"), c)))))
     rows = spark.range(0, 0x110000).where("id not between 55296 and 57343").select(F.col("id").cast("int").alias("cp"), F.explode(forms).alias("x")).select("cp", "x.form", "x.t")
     return rows.withColumn("n", normalize("t")).where("n <> t").select("cp", "form", F.hex(F.encode("n", "utf-8")).alias("hex"))
 

@@ -142,7 +142,7 @@ def split_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(nfc_normalize(replace(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'ñ', 'n' || chr(771)))) AS digest FROM documents")
 def nfc_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    for a, b in (("é", "é"), ("ü", "ü"), ("ñ", "ñ")):
+    for a, b in (("é", "e\u0301"), ("ü", "u\u0308"), ("ñ", "n\u0303")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(C.normalize(t), "utf-8")).alias("digest"))
 
