@@ -43,7 +43,7 @@ class LangId:
 
     vocabulary: str = VOCABULARY
     sample: int = 1000
-    words: int = 50_000
+    words: int = 20_000
     iterations: int = 6
     least: float = 1e-8
     margin: float = 0.02
@@ -168,7 +168,7 @@ class Model:
         data, off = T.buffers(col)
         n, langs = len(col), len(self.languages)
         out, count, size = np.zeros((n, langs)), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for r0, r1 in T.rows(off, 1 << 24):
+        for r0, r1 in T.rows(off, 1 << 22):
             w = parts(T.words(data[off[r0] : off[r1]], off[r0 : r1 + 1] - off[r0]))
             count[r0:r1] = np.diff(w.off)
             size[r0:r1] = T.sums(w.end - w.start + 1, w.off)
@@ -216,10 +216,15 @@ def fit(counts: dict[str, dict[bytes, int]], p: LangId) -> Model:
         size = end - np.concatenate([[0], end[:-1]])
         weight = np.repeat(n, (size + PART - 1) // PART)
         b, off = spaced(joined, w.start, w.end)
-        edges = v.edges(b, off)
+        # a few thousand words at a time, so that their pieces stay small in the driver
+        blocks = []
+        for i in range(0, len(weight), 5000):
+            j = min(i + 5000, len(weight))
+            o = off[i : j + 1] - off[i]
+            blocks.append((b[off[i] : off[j]], o, weight[i:j]))
         own = np.full(v.size, 1 / v.size)
         for _ in range(p.iterations):
-            c = expected(edges, off, own, weight)
+            c = sum(expected(v.edges(x, o), o, own, n) for x, o, n in blocks)
             own = np.maximum(c / c.sum(), p.least)
         out[:, k] = own
     return Model(p, languages, out)
