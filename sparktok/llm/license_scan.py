@@ -98,8 +98,13 @@ class Templates:
                 can = self.possible(which[x:y])
                 for w, stride in sorted({*zip(self.window[can].tolist(), self.stride[can].tolist(), strict=True)}):
                     own = can[(self.window[can] == w) & (self.stride[can] == stride)]
-                    size = min(w, hi - lo)
-                    start = np.unique(np.append(np.arange(lo, hi - size + 1, stride), hi - size))
+                    begin, length = int(off[d]), int(off[d + 1] - off[d])
+                    size = min(w, length)
+                    # windows start at multiples of the stride, and one ends with the text
+                    grid = begin + np.append(np.arange(0, length - size + 1, stride), length - size)
+                    start = np.unique(grid[(grid >= lo) & (grid + size <= hi)])
+                    if not len(start):
+                        continue
                     at = (start[:, None] + np.arange(size)).ravel()
                     bands = self._bands(sh[at], np.arange(len(start) + 1) * size)
                     for i, k in zip(*np.nonzero((bands[:, None, :] == self.bands[own][None]).any(2)), strict=True):

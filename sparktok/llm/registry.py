@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secrets as S
 from . import text as T
 from .chat import turn_spans
 from .decontam import contamination
 from .langid import language_id
 from .license_scan import license_scan
+from .licenses import TEMPLATES
 from .lm import lm_scores
 from .mixing import copies
 from .ngram_join import jaccard_join
 from .secrets import secrets
 from .topk import top_k
-from .toxicity import toxic_documents
+from .toxicity import EXCEPTIONS, LEXICON, toxic_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +65,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +92,85 @@ FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5
 """
 
+_BIGRAMS = "CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL1 = f"""
+WITH tpl AS (SELECT name, regexp_extract_all(lower(wording), '{T.WORD_RE2}') AS w FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(x)})" for n, x in TEMPLATES)}) AS v(name, wording)),
+t AS (SELECT name, {_BIGRAMS} AS sh FROM tpl),
+u AS (SELECT name, list_distinct(sh) AS own, len(sh) AS m, greatest(len(sh), ceil(len(sh) * 1.25))::BIGINT AS win FROM t),
+x AS (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD_RE2}') AS w FROM documents),
+d AS (SELECT doc_id, {_BIGRAMS} AS sh FROM x),
+c AS (SELECT doc_id, sh, name, own, least(win, len(sh)) AS size, greatest(1, (win - m) // 2) AS stride FROM d JOIN u ON len(list_intersect(list_distinct(sh), own)) >= 0.8 * len(own) - 1e-9),
+a AS (SELECT *, unnest(list_distinct(list_concat(range(0, len(sh) - size + 1, stride), [len(sh) - size]))) AS pos FROM c),
+s AS (SELECT doc_id, name, pos, size, len(list_intersect(list_distinct(sh[pos + 1 : pos + size]), own))::DOUBLE / len(own)::DOUBLE AS share FROM a),
+b AS (SELECT * FROM s WHERE share >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY share DESC, pos, size) = 1)
+SELECT doc_id, name AS license, share AS containment, pos::BIGINT AS start_word, (size + 1)::BIGINT AS n_words FROM b
+WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND o.pos < b.pos + b.size + 1 AND b.pos < o.pos + o.size + 1 AND o.share > b.share)
+"""
+
+
+_FOLDED = {"a": "[a4@]", "b": "[b8]", "e": "[e3]", "g": "[g9]", "i": "[i1!|]", "l": "[l1!|]", "o": "[o0]", "s": "[s5$]", "t": "[t7+]", " ": "  "}
+
+
+def _any_of(terms: list[str]) -> str:
+    """One of some terms as whole words, in a text that has two blanks between words and around."""
+    return _quoted(" (?:" + "|".join("".join(_FOLDED.get(c, c) for c in t) for t in sorted(terms, key=len, reverse=True)) + ") ")
+
+
+_WEIGHTS = sorted(set(LEXICON.values()))
+#: Accents and digits are folded as the operator does; look-alikes of other scripts, which no table has, are not.
+SQL2 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[$]?[\\p{{L}}\\p{{N}}]+(?:[@$!|+][\\p{{L}}\\p{{N}}]+)*') AS w FROM documents),
+t AS (SELECT doc_id, len(w)::BIGINT AS n, regexp_replace('  ' || array_to_string(w, '  ') || '  ', {_any_of(EXCEPTIONS)}, ' * ', 'g') AS t FROM w),
+c AS (SELECT doc_id, n, {", ".join(f"len(regexp_extract_all(t, {_any_of([t for t, x in LEXICON.items() if x == w])})) AS c{k}" for k, w in enumerate(_WEIGHTS))} FROM t),
+s AS (SELECT doc_id, n AS n_words, ({" + ".join(f"c{k}" for k in range(len(_WEIGHTS)))})::BIGINT AS n_terms, ({" + ".join(f"{w}::DOUBLE * c{k}" for k, w in enumerate(_WEIGHTS))})::DOUBLE AS weight FROM c)
+SELECT *, 1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE AS score FROM s WHERE 1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE > 2.5
+"""
+
+
+def _trigrams(table_: str, key: str) -> str:
+    return f"SELECT {key}, w, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM (SELECT {key}, regexp_extract_all(lower(text), '{T.WORD_RE2}') AS w FROM {table_})"
+
+
+#: Every window of an item's size, for items of whose weight the document has enough at all; no fingerprints.
+SQL8 = f"""
+WITH d AS ({_trigrams("documents", "doc_id")}), b AS (SELECT * FROM ({_trigrams("benchmark", "item_id")}) WHERE len(sh) > 0 AND item_id IS NOT NULL),
+i AS (SELECT item_id, s, count(*) AS n FROM (SELECT item_id, unnest(sh) AS s FROM b) GROUP BY item_id, s),
+f AS (SELECT s, ln(1 + (SELECT count(*) FROM b)::DOUBLE / count(*)) AS w FROM i GROUP BY s),
+iw AS (SELECT i.item_id, i.s, i.n, f.w FROM i JOIN f ON f.s = i.s), tot AS (SELECT item_id, sum(n * w) AS w FROM iw GROUP BY item_id),
+ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(sh) AS s FROM d)),
+c AS (SELECT ds.doc_id, iw.item_id FROM ds JOIN iw ON iw.s = ds.s JOIN tot ON tot.item_id = iw.item_id GROUP BY ds.doc_id, iw.item_id, tot.w HAVING sum(iw.n * iw.w) >= 0.6 * tot.w - 1e-9),
+x AS (SELECT c.doc_id, c.item_id, len(b.w) AS words, d.sh, least(len(d.sh), len(b.sh)) AS size, unnest(range(0, len(d.sh) - least(len(d.sh), len(b.sh)) + 1)) AS pos FROM c JOIN d ON d.doc_id = c.doc_id JOIN b ON b.item_id = c.item_id),
+y AS (SELECT doc_id, item_id, words, pos, s, count(*) AS n FROM (SELECT doc_id, item_id, words, pos, unnest(sh[pos + 1 : pos + size]) AS s FROM x) GROUP BY ALL),
+z AS (SELECT y.doc_id, y.item_id, y.words, y.pos, sum(y.n * coalesce(f.w, ln(1 + (SELECT count(*) FROM b)::DOUBLE))) AS own, sum(least(y.n, coalesce(iw.n, 0)) * coalesce(iw.w, 0)) AS shared
+  FROM y LEFT JOIN f ON f.s = y.s LEFT JOIN iw ON iw.s = y.s AND iw.item_id = y.item_id GROUP BY ALL),
+r AS (SELECT z.doc_id, z.item_id, words, pos, round(shared / (own + tot.w - shared), 9) AS similarity FROM z JOIN tot ON tot.item_id = z.item_id)
+SELECT doc_id, item_id, similarity, pos::BIGINT AS start_word, words::BIGINT AS n_words FROM r WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) = 1
+"""
+
+
+def _rule_sql(name: str, rule: str) -> str:
+    """Matches of one rule with the signs around them, and what lies between: places are sums of lengths. Two matches with one sign between them would be one here; no table has such."""
+    body = rule.removeprefix("(?i)")
+    for a in ("(AKIA", "([A-Z]", "(live", "(access", "(token"):
+        body = body.replace(a, "(?:" + a[1:])
+    flag = "(?i)" if rule.startswith("(?i)") else ""
+    pattern = _quoted(f"{flag}(?:^|[^0-9A-Za-z_\\-])({body})(?:[^0-9A-Za-z_\\-]|$)")
+    return f"""SELECT doc_id, '{name}' AS rule, text, string_split_regex(text, {pattern}) AS gap, regexp_extract_all(text, {pattern}, 0) AS hit, regexp_extract_all(text, {pattern}, 1) AS own
+FROM documents WHERE regexp_matches(text, {pattern})"""
+
+
+SQL7 = f"""
+WITH m AS ({" UNION ALL ".join(_rule_sql(n, r) for n, r in S.RULES)}),
+k AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m)
+SELECT doc_id, rule, (coalesce(list_sum(list_transform(gap[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hit[1 : i - 1], lambda h: length(h))), 0) + strpos(hit[i], own[i]) - 1)::BIGINT AS start, length(own[i])::BIGINT AS n_chars FROM k
+"""
+
 SQL3 = """
 WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.id <> b.id),
@@ -111,4 +194,4 @@ SELECT 'reasoning', conv_id, position, turn, role, CASE WHEN role1 = 'assistant'
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_exact_topk, op4_chat_formatting, op5_source_mixing, op6_ngram_jaccard_join, op7_secret_scan, op8_benchmark_decontamination, op9_language_id, op10_lm_scoring)}
-SQL: dict[str, str] = {"op3_exact_topk": SQL3, "op4_chat_formatting": SQL4, "op6_ngram_jaccard_join": SQL6}
+SQL: dict[str, str] = {"op1_license_scan": SQL1, "op2_toxicity": SQL2, "op3_exact_topk": SQL3, "op4_chat_formatting": SQL4, "op6_ngram_jaccard_join": SQL6, "op7_secret_scan": SQL7, "op8_benchmark_decontamination": SQL8}
