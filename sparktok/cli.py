@@ -1,7 +1,7 @@
-"""Command line: encode, count, decode, bench, census, witness, info, convert.
+"""Command line: encode, count, decode, bench, census, witness, info, dump, convert, fingerprint, diff.
 
 python -m sparktok.cli COMMAND VOCABULARY.bpv ... Exit status: 0 done, 1 usage, 2 input, 3 vocabulary, 4 encoding or
-decoding, 5 a witness that doesn't hold.
+decoding, 5 a witness that doesn't hold, 6 fingerprints that differ.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ USAGE = """usage: encode|count|decode|bench VOCAB [FILE] [--raw] [--scalar] [--s
        census VOCAB [OUT.json] [--deep] [--limit N]
        witness VOCAB ID
        info VOCAB
-       convert TOKENIZER.json OUT.bpv"""
-FLAGS = {"--raw", "--scalar", "--skip-special", "--deep"}
+       dump VOCAB
+       convert TOKENIZER.json OUT.bpv
+       fingerprint VOCAB OUT.json [--quick]
+       diff A.json B.json"""
+FLAGS = {"--raw", "--scalar", "--skip-special", "--deep", "--quick"}
 
 
 def _session():
@@ -92,6 +95,37 @@ def _census(vocab: Vocab, out: str | None, deep: bool, limit: int | None) -> int
     return 5 if failed else 0
 
 
+def _fingerprint(vocab: Vocab, out: str, quick: bool) -> None:
+    from .operators import fingerprint as fp
+
+    nested: dict[str, dict[str, str]] = {}
+    for r in fp.take(_session(), vocab, quick).orderBy("section", "key").toLocalIterator():
+        nested.setdefault(r.section, {})[r.key] = r.value
+    with open(out, "w") as f:
+        json.dump(nested, f, indent=1, ensure_ascii=False)
+
+
+def _diff(a: str, b: str) -> int:
+    """Named changes, the first 20 of each section. A section that only one has is a note, not a difference."""
+    try:
+        left, right = json.loads(_read(a)), json.loads(_read(b))
+    except ValueError as e:
+        raise InputError(str(e)) from None
+    status = 0
+    for section in sorted(left.keys() | right.keys()):
+        if section not in left or section not in right:
+            print(f"note: only one has {section}")
+            continue
+        x, y = left[section], right[section]
+        changed = [k for k in sorted(x.keys() | y.keys()) if x.get(k) != y.get(k)]
+        for k in changed[:20]:
+            print(f"{section} {k}: {x.get(k)} -> {y.get(k)}")
+        if changed:
+            status = 6
+            print(f"{section}: {len(changed)} differences")
+    return status
+
+
 def run(args: list[str]) -> int:
     flags, rest, limit = set(), [], None
     it = iter(args)
@@ -107,7 +141,7 @@ def run(args: list[str]) -> int:
         else:
             rest.append(a)
     command, rest = (rest[0], rest[1:]) if rest else ("", [])
-    least = {"encode": (1, 2), "count": (1, 2), "decode": (1, 2), "bench": (1, 2), "census": (1, 2), "witness": (2, 2), "info": (1, 1), "convert": (2, 2)}
+    least = {"encode": (1, 2), "count": (1, 2), "decode": (1, 2), "bench": (1, 2), "census": (1, 2), "witness": (2, 2), "info": (1, 1), "dump": (1, 1), "convert": (2, 2), "fingerprint": (2, 2), "diff": (2, 2)}
     if command not in least or not least[command][0] <= len(rest) <= least[command][1] or any(x.startswith("--") for x in rest) or command == "witness" and not rest[1].isdigit():
         print(USAGE, file=sys.stderr)
         return 1
@@ -115,12 +149,18 @@ def run(args: list[str]) -> int:
         if command == "convert":
             bpv.save(from_tokenizer_json(_read(rest[0]), rest[0].rsplit("/", 1)[-1]), rest[1])
             return 0
+        if command == "diff":
+            return _diff(*rest)
         start = time.perf_counter()
         vocab = _vocab(rest[0])
         opened = time.perf_counter() - start
         file = rest[1] if len(rest) > 1 else None
         if command == "info":
             print("\n".join(f"{k}: {bpv.sanitized(str(v).encode())}" for k, v in vocab.info().items()) + f"\nopened in: {opened * 1000:.3f} ms")
+        elif command == "dump":
+            print(json.dumps(bpv.report(vocab), indent=1))
+        elif command == "fingerprint":
+            _fingerprint(vocab, file, "--quick" in flags)
         elif command in ("encode", "count"):
             ids = encode_binary(vocab, _read(file), "--raw" in flags)
             print(len(ids) if command == "count" else "\n".join(map(str, ids)), end="\n" if command == "count" or ids else "")

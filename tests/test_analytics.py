@@ -164,6 +164,29 @@ def test_command_line_census(spark, tmp_path, toy):
     assert status == 0 and b"don't hold: 0" in said and len(json.loads((tmp_path / "c.json").read_text())["tokens"]) == 30
 
 
+def test_command_line_fingerprints(spark, tmp_path, toy):
+    from dataclasses import replace
+
+    bpv.save(toy, str(tmp_path / "a.bpv"))
+    bpv.save(replace(toy, name="other"), str(tmp_path / "b.bpv"))
+    for n in "ab":
+        assert out_of("fingerprint", tmp_path / f"{n}.bpv", tmp_path / f"{n}.json", "--quick")[0] == 0
+    assert out_of("diff", tmp_path / "a.json", tmp_path / "a.json") == (0, b"")
+    assert out_of("diff", tmp_path / "a.json", tmp_path / "b.json") == (6, b"pipeline name: toy -> other\npipeline: 1 differences\n")
+    assert json.loads(out_of("dump", tmp_path / "a.bpv")[1])["merges"] == 6
+    assert out_of("diff", tmp_path / "a.bpv", tmp_path / "none")[0] == 2
+
+
+def test_differences(spark, toy):
+    from sparktok.operators.compare import differences, first_difference, shortest_difference
+
+    assert first_difference([1, 2], [1, 2]) is None and first_difference([1, 2], [1, 3]) == 1 and first_difference([1], [1, 2]) == 1
+    a, b = (lambda t: encode_binary(toy, t.encode())), (lambda t: encode_binary(toy.with_merges(3), t.encode()))
+    assert shortest_difference("xx yy zabcz 12 " * 20, a, b) in ("ab", "bc") and shortest_difference("xyz", a, b) is None
+    df = spark.createDataFrame([(1, [1, 2], [1, 2]), (2, [1, 2], [1, 3]), (3, [1], [1, 2]), (4, None, [1]), (5, None, None)], "k int, a array<int>, b array<int>")
+    assert {r.k: r["at"] for r in differences(df, "a", "b").where("k < 4").collect()} == {2: 1, 3: 1} and differences(df, "a", "b").count() == 3
+
+
 def test_entry_without_the_corpus_part(tmp_path):
     """The entry point imports, and has its other queries, where the corpus part is gone."""
     import shutil
