@@ -178,10 +178,10 @@ class Model:
             first = np.full(code.max() + 1, -1)
             first[code[::-1]] = np.arange(len(code))[::-1]
             logs = np.empty((len(first), langs))
-            for i in range(0, len(first), 30_000):
-                at = first[i : i + 30_000]
+            for i in range(0, len(first), 8_000):
+                at = first[i : i + 8_000]
                 b, o = spaced(w.data, w.start[at], w.end[at])
-                logs[i : i + 30_000] = np.log(forward(pieces(self.p.vocabulary).edges(b, o), o, self.probability)[1])
+                logs[i : i + 8_000] = np.log(forward(pieces(self.p.vocabulary).edges(b, o), o, self.probability)[1])
             for k in range(langs):
                 out[r0:r1, k] = T.sums(logs[code, k], w.off)
         return out, count, size
