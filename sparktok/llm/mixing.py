@@ -23,9 +23,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
 from .common import Scratch
 
 
@@ -42,8 +44,17 @@ NONE = "\0none"
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text, by white space."""
-    return F.when(F.trim(text) == "", 0).otherwise(F.regexp_count(text, F.lit(r"\S+"))).cast("long")
+    """Words of a text (text.py), 0 for null. Counted once a row: Spark evaluates a pattern anew wherever its count is used, a function of batches once."""
+
+    @F.arrow_udf("bigint")
+    def count(col: pa.Array) -> pa.Array:
+        data, off = T.buffers(col)
+        out = np.zeros(len(col), np.int64)
+        for i, j in T.rows(off):
+            out[i:j] = np.diff(T.words(data[off[i] : off[j]], off[i : j + 1] - off[i]).off)
+        return pa.array(out)
+
+    return count(F.lower(text))
 
 
 def _value(c: str) -> Column:
@@ -117,7 +128,7 @@ def rates(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p:
     """df with __tokens, __rate and __copies. targets: for each constraint column, the shares of its values; by default every source has the same."""
     at = Scratch(df.sparkSession, "mixing")
     keys = list(targets) if targets else [source_col]
-    counted = df.withColumn("__tokens", F.coalesce(tokens(F.col(text_col)), F.lit(0)).cast("long"))
+    counted = df.withColumn("__tokens", tokens(F.col(text_col)))
     groups = at.save(counted.groupBy(*(_value(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("__tokens").alias("t")).agg(F.count("*").alias("n")), "groups")
     if targets:
         shares = [{NONE if v is None else str(v): w for v, w in targets[k].items()} for k in keys]
