@@ -7,6 +7,7 @@ dictionary-encoded, its dictionary looked up in a cache that a worker keeps, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -63,23 +64,30 @@ def java_quote(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def added_split(text: Column | str, vocab: Vocab, raw: bool = False) -> Column:
-    """array<struct<seg, added>>: each stretch of a text, and the added token behind it, empty at the end. Leftmost, then longest; raw: no added tokens. What is empty on both sides is left out."""
-    c = _col(text)
-    whole = F.when(F.length(c) > 0, F.array(F.struct(c.alias("seg"), F.lit("").alias("added")))).otherwise(F.array().cast("array<struct<seg:string,added:string>>"))
+def _added_names(vocab: Vocab, raw: bool) -> list[str]:
+    """The added tokens that a string can hold, longest first."""
     names = [a.content.decode("utf-8", "surrogateescape") for a in vocab.added_by_length]
-    names = [n for n in names if not any("\udc80" <= x <= "\udcff" for x in n)]  # not text: can't be in a string
-    if raw or not names:
-        return F.when(c.isNotNull(), whole)
-    pattern = F.lit("(?s)(.*?)(" + "|".join(map(java_quote, names)) + "|\\z)")
-    cut = F.filter(
-        F.zip_with(F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2)), lambda a, b: F.struct(a.alias("seg"), b.alias("added"))),
-        lambda x: (x["seg"] != "") | (x["added"] != ""),
-    )
+    return [] if raw else [n for n in names if not any("\udc80" <= x <= "\udcff" for x in n)]
+
+
+def _has_added(c: Column, names: list[str]) -> Column:
     some = F.lit(False)
     for n in _roots(names):
         some = some | c.contains(n)
-    return F.when(c.isNotNull(), F.when(some, cut).otherwise(whole))
+    return some
+
+
+def _cut(c: Column, names: list[str]) -> Column:
+    pattern = F.lit("(?s)(.*?)(" + "|".join(map(java_quote, names)) + "|\\z)")
+    pairs = F.zip_with(F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2)), lambda a, b: F.struct(a.alias("seg"), b.alias("added")))
+    return F.filter(pairs, lambda x: (x["seg"] != "") | (x["added"] != ""))
+
+
+def added_split(text: Column | str, vocab: Vocab, raw: bool = False) -> Column:
+    """array<struct<seg, added>>: each stretch of a text, and the added token behind it, empty at the end. Leftmost, then longest; raw: no added tokens. What is empty on both sides is left out."""
+    c, names = _col(text), _added_names(vocab, raw)
+    whole = F.when(F.length(c) > 0, F.array(F.struct(c.alias("seg"), F.lit("").alias("added")))).otherwise(F.array().cast("array<struct<seg:string,added:string>>"))
+    return F.when(c.isNotNull(), F.when(_has_added(c, names), _cut(c, names)).otherwise(whole) if names else whole)
 
 
 def _roots(names: list[str]) -> list[str]:
@@ -171,16 +179,26 @@ def _nested(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), np.concatenate([[0], np.cumsum(size)]), null
 
 
-def _segments(c: Column, vocab: Vocab, raw: bool) -> Column:
-    """array<struct<pre, added>>: each segment's pretokens, and the added token behind it."""
-    parts = added_split(c, vocab, raw)
+def _parts(c: Column, vocab: Vocab, raw: bool) -> tuple[Column, Column | None]:
+    """Of each text one of: its pretokens, if no added token is in it; or array<struct<pre, added>>, each segment's pretokens and the added token behind it. The other is null, so that nothing is evaluated for it."""
+    names = _added_names(vocab, raw)
+    has = _has_added(c, names)
+    own = F.when(~has, c) if names else c
+    plain = F.coalesce(_nfc(F.when(own.rlike(MAY_CHANGE), own)), own) if vocab.nfc else own
+    if not names:
+        return pretokenize(plain), None
+    held = F.when(has, _cut(F.when(has, c), names))
     if vocab.nfc:
-        # one text in most rows: normalized by itself, as an array only where added tokens cut it
-        plain = normalize(F.when(F.size(parts) == 1, F.element_at(parts, 1)["seg"]))
-        many = _nfc_all(F.when((F.size(parts) > 1) & c.rlike(MAY_CHANGE), F.transform(parts, lambda x: x["seg"])))
-        done = F.when(F.size(parts) == 1, F.array(plain)).otherwise(F.coalesce(many, F.transform(parts, lambda x: x["seg"])))
-        parts = F.zip_with(done, parts, lambda seg, x: F.struct(seg.alias("seg"), x["added"].alias("added")))
-    return F.transform(parts, lambda x: F.struct(pretokenize(x["seg"]).alias("pre"), x["added"].alias("added")))
+        changed = _nfc_all(F.when(has & c.rlike(MAY_CHANGE), F.transform(held, lambda x: x["seg"])))
+        held = F.when(changed.isNotNull(), F.zip_with(changed, held, lambda seg, x: F.struct(seg.alias("seg"), x["added"].alias("added")))).otherwise(held)
+    return pretokenize(plain), F.transform(held, lambda x: F.struct(pretokenize(x["seg"]).alias("pre"), x["added"].alias("added")))
+
+
+def _segments(c: Column, vocab: Vocab, raw: bool) -> Column:
+    """array<struct<pre, added>> of every text."""
+    plain, held = _parts(c, vocab, raw)
+    whole = F.when(plain.isNotNull(), F.array(F.struct(plain.alias("pre"), F.lit("").alias("added"))))
+    return whole if held is None else F.coalesce(held, whole)
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -188,20 +206,34 @@ def _nfc_all(lists: pa.Array) -> pa.Array:
     return pa.array([None if x is None else [nfc(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
 
 
-def _encoded(vocab: Vocab, merger: Merger, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets by row, which rows are null)."""
-    flat, rows, null = _nested(segments)
-    pre, seg, _ = _nested(flat.field("pre"))
+def _gathered(sizes: np.ndarray, ids: np.ndarray, off: np.ndarray, out: np.ndarray, to: np.ndarray) -> None:
+    """Writes each row's ids where the row's place is."""
+    out[np.repeat(to - off[:-1], sizes) + np.arange(off[-1])] = ids
+
+
+def _encoded(vocab: Vocab, merger: Merger, plain: pa.Array, held: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets by row, which rows are null), of what _parts() gives."""
+    pre, rows, null = _nested(plain)
     ids, off = merger.ids(pre)
+    off = off[rows]
+    if held is None or held.null_count == len(held):
+        return ids, off, null
+    flat, segs, none = _nested(held)
+    pre, seg, _ = _nested(flat.field("pre"))
+    more, ends = merger.ids(pre)
+    ends = ends[seg]
     names = flat.field("added")
     by_name = {a.content.decode("utf-8", "replace"): a.id for a in reversed(vocab.added_by_length)}
     marks = np.flatnonzero(pc.not_equal(names, "").to_numpy(zero_copy_only=False))
-    ends = off[seg]  # of ids, by segment
-    if len(marks):
-        added = np.array([by_name[x] for x in names.take(pa.array(marks)).to_pylist()], np.int32)
-        ids = np.insert(ids, ends[marks + 1], added)
-        ends = ends + np.concatenate([[0], np.cumsum(np.bincount(marks, minlength=len(flat)))])
-    return ids, ends[rows], null
+    added = np.array([by_name[x] for x in names.take(pa.array(marks)).to_pylist()], np.int32)
+    more = np.insert(more, ends[marks + 1], added)
+    ends = (ends + np.concatenate([[0], np.cumsum(np.bincount(marks, minlength=len(flat)))]))[segs]
+    size, extra = np.diff(off), np.diff(ends)
+    end = np.concatenate([[0], np.cumsum(size + extra)])
+    out = np.empty(int(end[-1]), np.int32)
+    _gathered(size, ids, off, out, end[:-1])
+    _gathered(extra, more, ends, out, end[:-1])
+    return out, end, null & none
 
 
 def encode(text: Column | str, vocab: Vocab, raw: bool = False, spark: SparkSession | None = None) -> Column:
@@ -209,12 +241,11 @@ def encode(text: Column | str, vocab: Vocab, raw: bool = False, spark: SparkSess
     shared, key = _share(spark or SparkSession.active(), vocab)
     merger = Merger(shared, key)
 
-    @F.arrow_udf("array<int>")
-    def run(segments: pa.Array) -> pa.Array:
-        ids, off, null = _encoded(shared.value, merger, segments)
+    def lists(plain: pa.Array, held: pa.Array | None) -> pa.Array:
+        ids, off, null = _encoded(shared.value, merger, plain, held)
         return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null) if null.any() else None)
 
-    return run(_segments(_col(text), vocab, raw))
+    return _applied(lists, "array<int>", *_parts(_col(text), vocab, raw))
 
 
 def token_count(text: Column | str, vocab: Vocab, raw: bool = False, spark: SparkSession | None = None) -> Column:
@@ -222,12 +253,27 @@ def token_count(text: Column | str, vocab: Vocab, raw: bool = False, spark: Spar
     shared, key = _share(spark or SparkSession.active(), vocab)
     merger = Merger(shared, key)
 
-    @F.arrow_udf("bigint")
-    def run(segments: pa.Array) -> pa.Array:
-        _, off, null = _encoded(shared.value, merger, segments)
+    def counts(plain: pa.Array, held: pa.Array | None) -> pa.Array:
+        _, off, null = _encoded(shared.value, merger, plain, held)
         return pa.array(np.diff(off), pa.int64(), mask=null)
 
-    return run(_segments(_col(text), vocab, raw))
+    return _applied(counts, "bigint", *_parts(_col(text), vocab, raw))
+
+
+def _applied(f: Callable[[pa.Array, pa.Array | None], pa.Array], kind: str, plain: Column, held: Column | None) -> Column:
+    if held is None:
+
+        @F.arrow_udf(kind)
+        def one(a: pa.Array) -> pa.Array:
+            return f(a, None)
+
+        return one(plain)
+
+    @F.arrow_udf(kind)
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return f(a, b)
+
+    return two(plain, held)
 
 
 def truncate(ids: Column | str, cap: int) -> Column:
