@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 Message = dict[str, str]
 Template = Callable[[list[Message]], str]
 
@@ -128,4 +130,4 @@ def turn_spans(df: DataFrame, templates: dict[str, Template] | None = None, conv
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return convs.mapInArrow(run, "template string, conv_id long, position long, turn long, role string, status string, start long, end long, rewritten_at long")
+    return convs.mapInArrow(tidy(run), "template string, conv_id long, position long, turn long, role string, status string, start long, end long, rewritten_at long")

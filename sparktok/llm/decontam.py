@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import texts
+from .common import give_back, texts, tidy
 from .windows import Members, regions
 
 
@@ -182,7 +182,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(),
                         ["doc_id", "item_id", "similarity", "start_word", "n_words"],
                     )
 
-        part = docs.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, n_words long")
+        part = docs.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, start_word long, n_words long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -202,6 +202,7 @@ def _holds(index: Broadcast[Index]):
         flags = np.zeros(len(col), bool)
         for r, *_ in index.value.scan(col):
             flags[r] = True
+        give_back()
         return pa.array(flags)
 
     return holds

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import texts
+from .common import give_back, texts, tidy
 from .windows import Members
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -255,7 +255,7 @@ def train(df: DataFrame, p: LangId = LangId(), id_col: str = "doc_id", text_col:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found], pa.binary()), pa.array([*found.values()], pa.int64())], ["lang", "word", "n"])
 
-    words = sample.select("text", "lang").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.select("text", "lang").mapInArrow(tidy(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(f"k <= {p.words}")
     counts: dict[str, dict[bytes, int]] = {}
     for r in top.select("lang", "word", "n").collect():
@@ -272,7 +272,7 @@ def language_id(df: DataFrame, p: LangId = LangId(), model: Model | None = None,
             lang, score, margin, ok = own.value.judge(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(ok)], ["doc_id", "lang", "score", "margin", "accepted"])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, lang string, score double, margin double, accepted boolean")
+    return texts(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, lang string, score double, margin double, accepted boolean")
 
 
 def keep_known_languages(df: DataFrame, p: LangId = LangId(), model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -281,6 +281,8 @@ def keep_known_languages(df: DataFrame, p: LangId = LangId(), model: Model | Non
 
     @F.arrow_udf("boolean")
     def accepted(col: pa.Array) -> pa.Array:
-        return pa.array(own.value.judge(col)[3])
+        ok = own.value.judge(col)[3]
+        give_back()
+        return pa.array(ok)
 
     return df.where(accepted(F.coalesce(F.lower(F.col(text_col)), F.lit(""))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as T
-from .common import texts
+from .common import texts, tidy
 from .licenses import TEMPLATES
 from .ngram_join import minhash
 from .windows import Members, regions
@@ -131,4 +131,4 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] | None = None,
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], ["doc_id", "license", "containment", "start_word", "n_words"])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, license string, containment double, start_word long, n_words long")
+    return texts(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, license string, containment double, start_word long, n_words long")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, texts
+from .common import Scratch, texts, tidy
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ _SCORED = "doc_id long, n_bytes long, logprob double, bits_per_byte double"
 def model(df: DataFrame, at: Scratch, p: DeletedInterpolation = DeletedInterpolation(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[list[float]]]:
     """(g, logp) of every n-gram in the table, and the weights."""
     docs = texts(df, id_col, text_col).select("text", (F.pmod(F.xxhash64("id"), F.lit(p.folds)) == 0).alias("held")).where("text is not null")
-    counts = at.save(docs.mapInArrow(_count(p), "g long, n long, held long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
+    counts = at.save(docs.mapInArrow(tidy(_count(p)), "g long, n long, held long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
     rows = at.save(estimates(counts, p).withColumn("bucket", _bucket(p)).drop("c"), "estimates")
     weights = learn(rows.where("held > 0"), p)
     return rows.select("g", F.log(_total(_mixed(p, weights))).alias("logp")), weights
@@ -190,7 +190,7 @@ def lm_scores(df: DataFrame, p: DeletedInterpolation = DeletedInterpolation(), i
                     total[i:j] = T.sums(v, off[i : j + 1] - off[i])
                 yield _scored(b.column("id"), np.diff(off), total)
 
-        return docs.mapInArrow(run, _SCORED)
+        return docs.mapInArrow(tidy(run), _SCORED)
 
     # each row has a number of its own, as ids may be null or repeat
     numbered = at.save(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "rows")
@@ -207,7 +207,7 @@ def lm_scores(df: DataFrame, p: DeletedInterpolation = DeletedInterpolation(), i
                         g, n = np.unique(h[s:e], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), row[i + k])), pa.array(g.view(np.int64)), pa.array(n)], ["row", "g", "n"])
 
-    summed = numbered.select("row", "text").mapInArrow(spread, "row long, g long, n long").join(logs, "g").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logprob"))
+    summed = numbered.select("row", "text").mapInArrow(tidy(spread), "row long, g long, n long").join(logs, "g").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logprob"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     out = numbered.select("row", "id", size.alias("n_bytes")).join(summed, "row", "left").withColumn("logprob", F.coalesce("logprob", F.lit(0.0)))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "logprob", F.when(F.col("n_bytes") > 0, -F.col("logprob") / F.col("n_bytes") / math.log(2)).alias("bits_per_byte"))

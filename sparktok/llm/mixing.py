@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch
+from .common import Scratch, give_back
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,7 @@ def tokens(text: Column) -> Column:
         out = np.zeros(len(col), np.int64)
         for i, j in T.rows(off):
             out[i:j] = np.diff(T.words(data[off[i] : off[j]], off[i : j + 1] - off[i]).off)
+        give_back()
         return pa.array(out)
 
     return count(F.lower(text))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, texts
+from .common import Scratch, texts, tidy
 
 
 @dataclass(frozen=True)
@@ -293,20 +293,20 @@ def _keyed(p: JaccardJoin):
 
 
 def _classes(docs: DataFrame, p: JaccardJoin, at: Scratch) -> DataFrame:
-    signed = docs.mapInArrow(_signatures(p), "id long, k1 long, k2 long, n long, sig binary")
+    signed = docs.mapInArrow(tidy(_signatures(p)), "id long, k1 long, k2 long, n long, sig binary")
     grouped = signed.groupBy("k1", "k2", "n").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("sig").alias("sig"))
     return at.save(grouped.select(F.col("k1").alias("cid"), F.element_at("ids", 1).alias("id"), "n", "ids", "sig"), "classes")
 
 
 def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch, spread: bool) -> DataFrame:
-    bands = classes.select("cid", "n", "sig").mapInArrow(_bands(p), "k int, band long, id long, n long")
+    bands = classes.select("cid", "n", "sig").mapInArrow(tidy(_bands(p)), "k int, band long, id long, n long")
     buckets = bands.groupBy("k", "band").agg(F.array_sort(F.collect_set(F.struct("id", "n"))).alias("members")).where("size(members) > 1")
     merged = buckets.groupBy("members").agg(F.min(F.struct("k", "band")).alias("of")).select("of.k", "of.band", "members")
-    tiles = at.save(merged.mapInArrow(_tiles(p), "k long, band long, tile long, side long, cid long"), "tiles")
+    tiles = at.save(merged.mapInArrow(tidy(_tiles(p)), "k long, band long, tile long, side long, cid long"), "tiles")
     member = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "ids", "sig")
-    whole = docs.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_keyed(p), "cid long, text string").dropDuplicates(["cid"])
+    whole = docs.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(tidy(_keyed(p)), "cid long, text string").dropDuplicates(["cid"])
     full = tiles.join(member.join(whole, "cid"), "cid")
-    return full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(_pairs(p, spread), "a long, b long, s double")
+    return full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(tidy(_pairs(p, spread)), "a long, b long, s double")
 
 
 def jaccard_join(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

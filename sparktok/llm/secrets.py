@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .automaton import Combined
+from .common import give_back, tidy
 
 #: (rule, regular expression in the syntax of automaton.py)
 RULES: list[tuple[str, str]] = [
@@ -88,7 +89,7 @@ def secrets(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: s
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), pa.array(rule), pa.array(s, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "rule", "start", "n_chars"])
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), _lined(F.col(text_col)).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, rule string, start long, n_chars long")
+    return docs.mapInArrow(tidy(run), "doc_id long, rule string, start long, n_chars long")
 
 
 def redact(df: DataFrame, rules: list[tuple[str, str]] | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -101,6 +102,7 @@ def redact(df: DataFrame, rules: list[tuple[str, str]] | None = None, text_col:
         cut: dict[int, list[tuple[int, int, str]]] = {}
         for r, k, s, e in spans(col, own):
             cut.setdefault(r, []).append((s, e, own[k][0]))
+        give_back()
         if not cut:
             return col.cast(pa.string())
         out = col.to_pylist()

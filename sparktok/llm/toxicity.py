@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as T
-from .common import texts
+from .common import texts, tidy
 
 #: Insults by severity; ordinary words that are insults in some uses weigh least.
 LEXICON: dict[str, float] = {
@@ -188,7 +188,7 @@ def toxicity(df: DataFrame, lexicon: dict[str, float] | None = None, exceptions:
             score = 1000 * weight / np.maximum(words, p.least_words)
             yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, (words, count, weight, score))], ["doc_id", "n_words", "n_terms", "weight", "score"])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_terms long, weight double, score double")
+    return texts(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_words long, n_terms long, weight double, score double")
 
 
 def toxic_documents(df: DataFrame, p: Toxicity = Toxicity(), **columns: str) -> DataFrame:
