@@ -104,3 +104,45 @@ def nfc(text: str) -> str:
 
 #: A Java pattern that finds in every text that NFC may change something: nothing before U+0300 composes, reorders or changes.
 MAY_CHANGE = "[\\x{300}-\\x{10FFFF}]"
+
+
+def _in(cp: int, ranges: list[tuple[int, int]]) -> bool:
+    return any(a <= cp <= b for a, b in ranges)
+
+
+def combining_class(cp: int) -> int:
+    """The canonical combining class as of Unicode 9.0: 0 for marks that came later."""
+    return 0 if _in(cp, BARRIERS) or not 0 <= cp < 0x110000 else unicodedata.combining(chr(cp))
+
+
+@cache
+def _seconds() -> frozenset[int]:
+    """Characters that compose with one before them: the second halves of compositions, and Hangul vowels and finals."""
+    out = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for cp in range(0xC0, 0x30000):
+        d = unicodedata.decomposition(chr(cp)) if not 0xAC00 <= cp < 0xE000 and not _in(cp, BARRIERS) else ""
+        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
+            out.add(int(d.split()[1], 16))
+    return frozenset(x for x in out if not _in(x, BARRIERS))
+
+
+def nfc_quick_check(cp: int) -> int:
+    """Whether NFC text as of Unicode 9.0 can hold a character: 0 no, 1 yes, 2 maybe, by what is before it."""
+    if not 0 <= cp < 0x110000 or 0xD800 <= cp < 0xE000 or _in(cp, BARRIERS):
+        return 1
+    if unicodedata.normalize("NFC", chr(cp)) != chr(cp):
+        return 0
+    return 2 if cp in _seconds() else 1
+
+
+def decompose(cp: int) -> list[int]:
+    """The full canonical decomposition as of Unicode 9.0."""
+    return [cp] if _in(cp, BARRIERS) or 0xD800 <= cp < 0xE000 else [ord(c) for c in unicodedata.normalize("NFD", chr(cp))]
+
+
+def compose(a: int, b: int) -> int | None:
+    """What two characters compose to as of Unicode 9.0; None if they don't."""
+    if _in(a, BARRIERS) or _in(b, BARRIERS):
+        return None
+    text = unicodedata.normalize("NFC", chr(a) + chr(b))
+    return ord(text) if len(text) == 1 and text != chr(a) else None

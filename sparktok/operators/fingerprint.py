@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import FormatError
 from ..functions.columns import encode, format_ids, normalize, pretokenize
 from .vocab import Vocab
 
@@ -87,3 +88,10 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def same(a: DataFrame, b: DataFrame) -> bool:
     return diff(a, b).isEmpty()
+
+
+def require_agreement(a: DataFrame, b: DataFrame, limit: int = 200) -> None:
+    """Two probes' rows must be the same; else an error that names the first differences, of ``limit`` looked at."""
+    found = diff(a, b).limit(limit).collect()
+    if found:
+        raise FormatError(f"{len(found)} or more differences: " + ", ".join(f"{r.section} {r.key}: {r.left} and {r.right}" for r in found[:5]))

@@ -187,6 +187,38 @@ def test_differences(spark, toy):
     assert {r.k: r["at"] for r in differences(df, "a", "b").where("k < 4").collect()} == {2: 1, 3: 1} and differences(df, "a", "b").count() == 3
 
 
+def test_unicode_properties():
+    from sparktok.functions import unicode_pins as U
+
+    assert [U.nfc_quick_check(c) for c in (0x41, 0xE9, 0x340, 0x300, 0xF900, 0x1161, 0xAC00, 0x898, 0x1D15E, 0x958)] == [1, 1, 0, 2, 0, 2, 1, 1, 0, 0]
+    assert U.combining_class(0x300) == 230 and U.combining_class(0x898) == 0 and U.combining_class(0x334) == 1
+    assert U.decompose(0x1E69) == [0x73, 0x323, 0x307] and U.decompose(0xAC01) == [0x1100, 0x1161, 0x11A8] and U.decompose(0x41) == [0x41]
+    assert U.compose(0x65, 0x301) == 0xE9 and U.compose(0x1100, 0x1161) == 0xAC00 and U.compose(0x41, 0x42) is None
+    maybe = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and U.nfc_quick_check(c) != 1]
+    assert len([c for c in maybe if U.nfc_quick_check(c) == 0]) > 1000 and 100 < len([c for c in maybe if U.nfc_quick_check(c) == 2]) < 130
+
+
+def test_evidence_gate(spark, toy):
+    from sparktok.errors import FormatError
+
+    a = fp.take(spark, toy, quick=True)
+    fp.require_agreement(a, a)
+    with pytest.raises(FormatError, match="pipeline"):
+        fp.require_agreement(a, a.where("section <> 'pipeline'"))
+
+
+def test_audit(spark, toy):
+    from sparktok.plans.audit import audit, markdown, strategies
+
+    df = spark.createDataFrame([(k, f"abc {k} ab12<|end|>") for k in range(30)], "k int, text string")
+    ways = {**strategies(toy, "k"), "wrong": lambda d: d.withColumn("ids", F.array(F.lit(1))), "broken": lambda d: d.select("nothing")}
+    result = audit(df, ways, "k", rounds=1)
+    rows = {r.strategy: r for r in result.collect()}
+    assert all(rows[s].exact and rows[s].mb_per_s > 0 for s in ("arrow", "dedup", "native"))
+    assert not rows["wrong"].exact and rows["wrong"].failure is None and "nothing" in rows["broken"].failure
+    assert markdown(result).count("\n") == 6
+
+
 def test_entry_without_the_corpus_part(tmp_path):
     """The entry point imports, and has its other queries, where the corpus part is gone."""
     import shutil
