@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import bound_batches, tidy
 
 Message = dict[str, str]
 Template = Callable[[list[Message]], str]
@@ -109,6 +109,7 @@ def spans(template: Template, messages: list[Message]) -> list[tuple[str, int |
 
 def turn_spans(df: DataFrame, templates: dict[str, Template] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """template, conv_id, position (from 1), turn, role, status, start, end, rewritten_at of every turn under each template."""
+    bound_batches(df.sparkSession)
     own = TEMPLATES if templates is None else templates
     turns = df.select(F.col(conv_col).cast("long").alias("conv"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     convs = turns.where("conv is not null and t.turn is not null").groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))

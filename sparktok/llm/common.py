@@ -63,8 +63,18 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python 8 MB at a time, not Spark's 64, so that a task's memory stays small with long texts too. A setting of the user's own is kept."""
+    if spark.conf.get(BATCH, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH, str(8 << 20))
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under names of its own: other columns can't clash. The text is lowered by Spark."""
+    bound_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.lower(F.col(text_col)).alias("text"),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import give_back, texts, tidy
+from .common import bound_batches, give_back, texts, tidy
 from .windows import Members, regions
 
 
@@ -190,6 +190,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(),
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df whose text holds no benchmark item; decided row by row, so nothing is shuffled."""
     out = df
+    bound_batches(df.sparkSession)
     for items in _chunks(benchmark, p, item_col, item_text):
         holds = _holds(df.sparkSession.sparkContext.broadcast(Index(items, p)))
         out = out.where(~holds(F.coalesce(F.lower(F.col(text_col)), F.lit(""))))

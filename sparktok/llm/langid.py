@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import give_back, texts, tidy
+from .common import bound_batches, give_back, texts, tidy
 from .windows import Members
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -279,6 +279,8 @@ def keep_known_languages(df: DataFrame, p: LangId = LangId(), model: Model | Non
     """The rows of df whose text is accepted; decided row by row, so nothing is shuffled."""
     own = df.sparkSession.sparkContext.broadcast(model or train(df, p, id_col, text_col, lang_col))
 
+    bound_batches(df.sparkSession)
+
     @F.arrow_udf("boolean")
     def accepted(col: pa.Array) -> pa.Array:
         ok = own.value.judge(col)[3]

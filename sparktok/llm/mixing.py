@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, give_back
+from .common import Scratch, bound_batches, give_back
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,7 @@ def solve(groups: DataFrame, keys: list[str], targets: list[dict[str, float]], p
 def rates(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """df with __tokens, __rate and __copies. targets: for each constraint column, the shares of its values; by default every source has the same."""
     at = Scratch(df.sparkSession, "mixing")
+    bound_batches(df.sparkSession)
     keys = list(targets) if targets else [source_col]
     counted = df.withColumn("__tokens", tokens(F.col(text_col)))
     groups = at.save(counted.groupBy(*(_value(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("__tokens").alias("t")).agg(F.count("*").alias("n")), "groups")

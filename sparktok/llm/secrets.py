@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .automaton import Combined
-from .common import give_back, tidy
+from .common import bound_batches, give_back, tidy
 
 #: (rule, regular expression in the syntax of automaton.py)
 RULES: list[tuple[str, str]] = [
@@ -88,6 +88,7 @@ def secrets(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: s
                 r, rule, s, n = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), pa.array(rule), pa.array(s, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "rule", "start", "n_chars"])
 
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), _lined(F.col(text_col)).alias("text"))
     return docs.mapInArrow(tidy(run), "doc_id long, rule string, start long, n_chars long")
 
@@ -95,6 +96,7 @@ def secrets(df: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: s
 def redact(df: DataFrame, rules: list[tuple[str, str]] | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with each secret in its text replaced by [rule]; what overlaps is replaced as one, by the first rule's name. length_col, if there is one, gets the new length. A null text stays null."""
     own = tuple(RULES if rules is None else rules)
+    bound_batches(df.sparkSession)
 
     @F.arrow_udf("string")
     def clean(col: pa.Array) -> pa.Array:
