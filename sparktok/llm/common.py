@@ -63,6 +63,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+#: Rows of one number each, about 16 MB as a hash table, up to which a set of ids goes to all executors.
+BROADCAST_IDS = 1_000_000
+
+
+def marked_small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is small enough; else Spark joins by shuffling both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, texts, tidy
+from .common import Scratch, marked_small, texts, tidy
 
 
 @dataclass(frozen=True)
@@ -304,7 +304,8 @@ def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch, sprea
     merged = buckets.groupBy("members").agg(F.min(F.struct("k", "band")).alias("of")).select("of.k", "of.band", "members")
     tiles = at.save(merged.mapInArrow(tidy(_tiles(p)), "k long, band long, tile long, side long, cid long"), "tiles")
     member = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "ids", "sig")
-    whole = docs.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(tidy(_keyed(p)), "cid long, text string").dropDuplicates(["cid"])
+    needed = at.save(member.select("id").distinct(), "needed")
+    whole = docs.join(marked_small(needed), "id", "left_semi").mapInArrow(tidy(_keyed(p)), "cid long, text string").dropDuplicates(["cid"])
     full = tiles.join(member.join(whole, "cid"), "cid")
     return full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(tidy(_pairs(p, spread)), "a long, b long, s double")
 
@@ -363,5 +364,5 @@ def near_duplicates(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str =
 
 def drop_near_duplicates(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df but for those of documents that are connected with one of a smaller id. Rows without an id stay; rows that repeat a kept id stay."""
-    gone = near_duplicates(df, p, id_col, text_col).select(F.col("node").alias("__gone"))
+    gone = marked_small(near_duplicates(df, p, id_col, text_col).select(F.col("node").alias("__gone")))
     return df.join(gone, df[id_col].cast("long") == gone["__gone"], "left_anti")
