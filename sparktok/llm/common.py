@@ -23,11 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 class Scratch:
-    """Tables written to the shared folder: they survive the loss of executors, and cut lineage."""
+    """Tables written to the shared folder: they survive the loss of executors, and cut lineage. Results are read from them, so they stay until clean()."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        _MADE.append(self.at)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
@@ -35,10 +39,20 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Frees what no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, [f"{self.at}/{name}" for name in names])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this driver's operators have written so far; results not yet stored elsewhere go with them."""
+    _delete(spark, _MADE)
+    _MADE.clear()
 
 
 def give_back() -> None:

@@ -52,3 +52,18 @@ def test_blocks_cover_all_rows():
 def test_mix_is_a_bijection_on_a_sample():
     x = np.array([random.Random(1).getrandbits(64) for _ in range(10_000)], np.uint64)
     assert len(np.unique(T.mix(x))) == len(np.unique(x))
+
+
+def test_scratch_tables_can_be_cleaned(spark):
+    from pathlib import Path
+
+    from sparktok.llm.common import Scratch, clean
+
+    at = Scratch(spark, "t")
+    assert at.save(spark.range(5), "x").count() == 5
+    at.save(spark.range(2), "y")
+    folder = Path(at.at.removeprefix("file://"))
+    at.drop("x")
+    assert not (folder / "x").exists() and (folder / "y").exists()
+    clean(spark)
+    assert not folder.exists()
