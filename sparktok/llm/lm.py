@@ -94,11 +94,11 @@ def _bucket(p: DeletedInterpolation) -> Column:
     return F.when(F.col("c") == 0, 0).otherwise(F.least(F.lit(p.buckets - 1), 1 + F.floor(F.log2(F.col("c") + 0.5)))).cast("int")
 
 
-def _mixed(p: DeletedInterpolation, weights: list[list[float]]) -> list[Column]:
-    """The weighted estimate of each order, the uniform one first."""
+def _mixed(p: DeletedInterpolation, weights: list[list[float]], size: float = 256.0) -> list[Column]:
+    """The weighted estimate of each order, the uniform one over ``size`` symbols first."""
     b = F.col("bucket")
     table = [F.element_at(F.array(*(F.lit(w[k]) for w in weights)), b + 1) for k in range(p.order + 1)]
-    return [table[0] / 256.0, *(table[k] * F.col(f"f{k}") for k in range(1, p.order + 1))]
+    return [table[0] / size, *(table[k] * F.col(f"f{k}") for k in range(1, p.order + 1))]
 
 
 def _total(parts: list[Column]) -> Column:
@@ -108,11 +108,11 @@ def _total(parts: list[Column]) -> Column:
     return out
 
 
-def learn(rows: DataFrame, p: DeletedInterpolation) -> list[list[float]]:
+def learn(rows: DataFrame, p: DeletedInterpolation, size: float = 256.0) -> list[list[float]]:
     """The mixture weights of each bucket, from held-out counts. rows: bucket, held, f1 to fn."""
     weights = [[1 / (p.order + 1)] * (p.order + 1) for _ in range(p.buckets)]
     for _ in range(p.iterations):
-        parts = _mixed(p, weights)
+        parts = _mixed(p, weights, size)
         shared = [x * F.col("held") / F.col("total") for x in parts]
         got = rows.withColumn("total", _total(parts)).groupBy("bucket").agg(*(F.sum(x).alias(f"r{k}") for k, x in enumerate(shared))).collect()
         for r in got:

@@ -1,0 +1,140 @@
+"""LM scoring by deleted interpolation of word n-grams, whose number grows with the table.
+
+A text is cut into tokens with nothing left out: a word with the signs before it, and what follows the last word. The
+estimates of the orders 1 to n are mixed with the uniform distribution over all tokens of the table, by weights for each
+power of two of the longest context's count, which expectation-maximisation learns from held-out documents (lm.py).
+
+1. Each task counts the n-grams of its texts, with n - 1 empty tokens before each; one shuffle adds the counts up.
+2. The lower orders are sums of these counts, joined back from the shortest order up.
+3. Each document's n-grams are joined with their log probabilities and added up. No table of n-grams is broadcast by size.
+
+Tokens are 64-bit hashes. Nulls and odd cases are as in lm.py: a null or empty text has no tokens, the log probability 0
+and no bits per byte; a row without an id counts, and is reported without one; rows that repeat an id are counted and
+scored each. An empty table gives no rows. Only the columns named are read. Texts are lowered.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import text as T
+from .common import Scratch, texts, tidy
+from .lm import DeletedInterpolation, _bucket, _mixed, _total, learn
+
+
+@dataclass(frozen=True)
+class WordInterpolation(DeletedInterpolation):
+    """order: tokens in an n-gram."""
+
+    order: int = 3
+
+
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token of texts data[off[i]:off[i+1]], and the texts' tokens as offsets."""
+    w = T.words(data, off)
+    end = np.union1d(w.end, off[1:][np.diff(off) > 0]).astype(np.int64)
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)]
+    pow_, inv = T._powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(T._BYTE[data] * pow_[: len(data)], out=total[1:])
+    return T.mix((total[end] - total[start]) * inv[start]), np.searchsorted(start, off)
+
+
+def grams(h: np.ndarray, off: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens of the n-gram that ends at each token, the farthest first; 0 before a text."""
+    place = np.arange(len(h)) - np.repeat(off[:-1], np.diff(off))
+    return [np.where(place >= k, np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[: max(len(h) - k, 0)]]), np.uint64(0)) for k in range(order - 1, -1, -1)]
+
+
+def _names(p: WordInterpolation) -> list[str]:
+    return [f"w{k}" for k in range(1, p.order + 1)]
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row, and each row's number among these."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = T.mix(key) + c
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return first, which
+
+
+def _count(p: WordInterpolation):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = T.buffers(b.column("text"))
+            held = b.column("held").to_numpy(zero_copy_only=False)
+            for i, j in T.rows(off, 1 << 22):
+                h, o = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if not len(h):
+                    continue
+                own = grams(h, o, p.order)
+                first, which = _distinct(own)
+                out = np.bincount(which, np.repeat(held[i:j], np.diff(o)), len(first)).astype(np.int64)
+                n = np.bincount(which, minlength=len(first)) - out
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in own), pa.array(n), pa.array(out)], [*_names(p), "n", "held"])
+
+    return run
+
+
+def estimates(counts: DataFrame, p: WordInterpolation) -> DataFrame:
+    """w1 to wn, n, held, c (count of the longest context), f1 to fn of each n-gram."""
+    names = _names(p)
+    tables = {p.order: counts}
+    for k in range(p.order - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy(*names[p.order - k :]).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    below: DataFrame | None = None
+    for k in range(1, p.order + 1):
+        own = names[p.order - k :]
+        context = tables[k].groupBy(*own[:-1]).agg(F.sum("n").alias("c"))
+        now = tables[k].join(context, own[:-1]) if k > 1 else tables[k].crossJoin(context)
+        now = now.withColumn(f"f{k}", F.when(F.col("c") > 0, F.col("n") / F.col("c")).otherwise(0.0))
+        if below is not None:
+            now = now.join(below.select(*own[1:], *(f"f{i}" for i in range(1, k))), own[1:])
+        below = now.select(*own, "n", "held", "c", *(f"f{i}" for i in range(1, k + 1)))
+    return below
+
+
+def model(df: DataFrame, at: Scratch, p: WordInterpolation = WordInterpolation(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[list[float]]]:
+    """(w1 to wn, logp) of every n-gram in the table, and the weights."""
+    names = _names(p)
+    docs = texts(df, id_col, text_col).select("text", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(p.folds)) == 0, F.lit(False)).alias("held")).where("text is not null")
+    schema = ", ".join(f"{c} long" for c in [*names, "n", "held"])
+    counts = at.save(docs.mapInArrow(tidy(_count(p)), schema).groupBy(*names).agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
+    size = float(max(1, counts.select(names[-1]).distinct().count()))
+    rows = at.save(estimates(counts, p).withColumn("bucket", _bucket(p)).drop("n", "c"), "estimates")
+    at.drop("counts")
+    weights = learn(rows.where("held > 0"), p, size)
+    return rows.select(*names, F.log(_total(_mixed(p, weights, size))).alias("logp")), weights
+
+
+def word_scores(df: DataFrame, p: WordInterpolation = WordInterpolation(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, logprob (natural), bits_per_byte of every text, under the model of all."""
+    at = Scratch(df.sparkSession, "word_lm")
+    logs, _ = model(df, at, p, id_col, text_col)
+    names = _names(p)
+    # each row has a number of its own, as ids may be null or repeat
+    numbered = at.save(texts(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text"), "rows")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = T.buffers(b.column("text"))
+            row = b.column("row").to_numpy()
+            for i, j in T.rows(off, 1 << 20):
+                h, o = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if len(h):
+                    own = grams(h, o, p.order)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[i:j], np.diff(o))), *(pa.array(c.view(np.int64)) for c in own)], ["row", *names])
+
+    schema = ", ".join(f"{c} long" for c in ["row", *names])
+    summed = numbered.select("row", "text").mapInArrow(tidy(spread), schema).join(logs, names).groupBy("row").agg(F.sum("logp").alias("logprob"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    out = numbered.select("row", "id", size.alias("n_bytes")).join(summed, "row", "left").withColumn("logprob", F.coalesce("logprob", F.lit(0.0)))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "logprob", F.when(F.col("n_bytes") > 0, -F.col("logprob") / F.col("n_bytes") / math.log(2)).alias("bits_per_byte"))

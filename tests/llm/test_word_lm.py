@@ -1,0 +1,98 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparktok.llm import registry, word_lm
+from sparktok.llm import text as T
+from sparktok.llm.word_lm import WordInterpolation, word_scores
+
+from .conftest import messy_rows, prose
+
+
+def cut(text):
+    ends = [m.end() for m in re.finditer(T.WORD_RE, text)]
+    if len(text) > (ends[-1] if ends else 0):
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def grams_of(text, order):
+    t = [""] * (order - 1) + cut((text or "").lower())
+    return [tuple(t[i : i + order]) for i in range(len(t) - order + 1)]
+
+
+def brute(rows, held, p):
+    train, out = Counter(), Counter()
+    for k, t in rows:
+        (out if k in held else train).update(grams_of(t, p.order))
+    size = len({g[-1] for g in [*train, *out]})
+
+    def table(counts):
+        n = [Counter() for _ in range(p.order)]
+        c = [Counter() for _ in range(p.order)]
+        for g, m in counts.items():
+            for k in range(p.order):
+                n[k][g[p.order - 1 - k :]] += m
+                c[k][g[p.order - 1 - k : -1]] += m
+
+        def parts(g):
+            return [1 / size] + [n[k][g[p.order - 1 - k :]] / c[k][g[p.order - 1 - k : -1]] if c[k][g[p.order - 1 - k : -1]] else 0.0 for k in range(p.order)]
+
+        def bucket(g):
+            x = c[-1][g[:-1]]
+            return 0 if x == 0 else min(p.buckets - 1, 1 + int(math.floor(math.log2(x + 0.5))))
+
+        return parts, bucket
+
+    parts, bucket = table(train)
+    w = [[1 / (p.order + 1)] * (p.order + 1) for _ in range(p.buckets)]
+    for _ in range(p.iterations):
+        mass = [[0.0] * (p.order + 1) for _ in w]
+        for g, m in out.items():
+            own = [x * y for x, y in zip(w[bucket(g)], parts(g), strict=True)]
+            for k, x in enumerate(own):
+                mass[bucket(g)][k] += m * x / sum(own)
+        for b, own in enumerate(mass):
+            if sum(own) > 0:
+                new = [max(x / sum(own), 1e-6 if k == 0 else 0.0) for k, x in enumerate(own)]
+                w[b] = [x / sum(new) for x in new]
+    parts, bucket = table(scored(train, out))
+    return {k: sum(math.log(sum(x * y for x, y in zip(w[bucket(g)], parts(g), strict=True))) for g in grams_of(t, p.order)) for k, t in rows}
+
+
+def scored(train, out):
+    """The counts that texts are scored by."""
+    return train
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_word_scores_agree_with_brute_force(spark, order):
+    rows = [(k, prose(k % 17, 12 + k % 5) + (" é漢 «x» " if k % 9 == 0 else "")) for k in range(60)] + [(60, ""), (61, None), (62, "A"), (63, " ... ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = WordInterpolation(order=order, folds=3, iterations=3)
+    held = {r.doc_id for r in df.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(p.folds)) == 0).collect()}
+    assert 5 < len(held) < 40
+    want = brute(rows, held, p)
+    got = {r.doc_id: r for r in word_scores(df, p).collect()}
+    assert set(got) == set(want) and all(abs(got[k].logprob - want[k]) < 1e-6 for k in want)
+    assert got[60].bits_per_byte is None and got[61].n_bytes == 0 and got[63].n_bytes == 5
+
+
+def test_the_query_gathers_word_order(spark, tmp_path):
+    """The number of n-grams follows the corpus, and the order of words far apart counts."""
+    a, b = prose(1, 40), " ".join(reversed(prose(1, 40).split()))
+    spark.createDataFrame([(k, a) for k in range(40)] + [(99, b)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.bits_per_byte for r in registry.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[99] > 4 * got[0]
+    distinct = lambda n: word_lm.model(spark.createDataFrame([(k, prose(k, 50)) for k in range(n)], "doc_id long, text string"), word_lm.Scratch(spark, "t"))[0].count()
+    assert distinct(80) > 1.8 * distinct(40)
+
+
+def test_word_scores_of_odd_tables(spark, messy, plain, empty):
+    a, b = word_scores(messy), word_scores(plain)
+    key = lambda df: sorted(f"{r.doc_id} {r.n_bytes} {r.logprob:.6f}" for r in df.collect())
+    assert a.count() == len(messy_rows()) and key(a) == key(b)
+    assert word_scores(empty).count() == 0
