@@ -5,7 +5,8 @@ estimates of the orders 1 to n are mixed with the uniform distribution over all
 power of two of the longest context's count, which expectation-maximisation learns from held-out documents (lm.py).
 
 1. Each task counts the n-grams of its texts, with n - 1 empty tokens before each; one shuffle adds the counts up.
-2. The lower orders are sums of these counts, joined back from the shortest order up.
+2. The lower orders are sums of these counts, joined back from the shortest order up. The weights are learned with the
+   estimates of what isn't held out; texts are scored with those of all documents, so none is scored by others only.
 3. Each document's n-grams are joined with their log probabilities and added up. No table of n-grams is broadcast by size.
 
 Tokens are 64-bit hashes. Nulls and odd cases are as in lm.py: a null or empty text has no tokens, the log probability 0
@@ -85,7 +86,7 @@ def _count(p: WordInterpolation):
 
 
 def estimates(counts: DataFrame, p: WordInterpolation) -> DataFrame:
-    """w1 to wn, n, held, c (count of the longest context), f1 to fn of each n-gram."""
+    """w1 to wn, n, held, c (count of the longest context), f1 to fn of each n-gram; a and e1 to en: c and f with what is held out."""
     names = _names(p)
     tables = {p.order: counts}
     for k in range(p.order - 1, 0, -1):
@@ -93,12 +94,12 @@ def estimates(counts: DataFrame, p: WordInterpolation) -> DataFrame:
     below: DataFrame | None = None
     for k in range(1, p.order + 1):
         own = names[p.order - k :]
-        context = tables[k].groupBy(*own[:-1]).agg(F.sum("n").alias("c"))
+        context = tables[k].groupBy(*own[:-1]).agg(F.sum("n").alias("c"), F.sum(F.col("n") + F.col("held")).alias("a"))
         now = tables[k].join(context, own[:-1]) if k > 1 else tables[k].crossJoin(context)
-        now = now.withColumn(f"f{k}", F.when(F.col("c") > 0, F.col("n") / F.col("c")).otherwise(0.0))
+        now = now.withColumn(f"f{k}", F.when(F.col("c") > 0, F.col("n") / F.col("c")).otherwise(0.0)).withColumn(f"e{k}", (F.col("n") + F.col("held")) / F.col("a"))
         if below is not None:
-            now = now.join(below.select(*own[1:], *(f"f{i}" for i in range(1, k))), own[1:])
-        below = now.select(*own, "n", "held", "c", *(f"f{i}" for i in range(1, k + 1)))
+            now = now.join(below.select(*own[1:], *(f"{x}{i}" for x in "fe" for i in range(1, k))), own[1:])
+        below = now.select(*own, "n", "held", "c", "a", *(f"{x}{i}" for x in "fe" for i in range(1, k + 1)))
     return below
 
 
@@ -109,10 +110,11 @@ def model(df: DataFrame, at: Scratch, p: WordInterpolation = WordInterpolation()
     schema = ", ".join(f"{c} long" for c in [*names, "n", "held"])
     counts = at.save(docs.mapInArrow(tidy(_count(p)), schema).groupBy(*names).agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
     size = float(max(1, counts.select(names[-1]).distinct().count()))
-    rows = at.save(estimates(counts, p).withColumn("bucket", _bucket(p)).drop("n", "c"), "estimates")
+    rows = at.save(estimates(counts, p).drop("n"), "estimates")
     at.drop("counts")
-    weights = learn(rows.where("held > 0"), p, size)
-    return rows.select(*names, F.log(_total(_mixed(p, weights, size))).alias("logp")), weights
+    weights = learn(rows.where("held > 0").withColumn("bucket", _bucket(p)), p, size)
+    whole = rows.select(*names, F.col("a").alias("c"), *(F.col(f"e{k}").alias(f"f{k}") for k in range(1, p.order + 1))).withColumn("bucket", _bucket(p))
+    return whole.select(*names, F.log(_total(_mixed(p, weights, size))).alias("logp")), weights
 
 
 def word_scores(df: DataFrame, p: WordInterpolation = WordInterpolation(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def brute(rows, held, p):
 
 def scored(train, out):
     """The counts that texts are scored by."""
-    return train
+    return train + out
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -96,3 +96,10 @@ def test_word_scores_of_odd_tables(spark, messy, plain, empty):
     key = lambda df: sorted(f"{r.doc_id} {r.n_bytes} {r.logprob:.6f}" for r in df.collect())
     assert a.count() == len(messy_rows()) and key(a) == key(b)
     assert word_scores(empty).count() == 0
+
+
+def test_held_out_documents_count(spark):
+    """Documents with the same words score alike, wherever the hashes of their ids put them."""
+    rows = [(k, " ".join(f"{w}{k}" for w in prose(1, 30).split())) for k in range(60)]
+    got = [r.bits_per_byte for r in word_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 10").collect()]
+    assert max(got) - min(got) < 1e-9
