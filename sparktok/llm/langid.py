@@ -43,7 +43,7 @@ class LangId:
 
     vocabulary: str = VOCABULARY
     sample: int = 1000
-    words: int = 20_000
+    words: int = 50_000
     iterations: int = 6
     least: float = 1e-8
     margin: float = 0.02

@@ -91,6 +91,13 @@ def test_long_words_are_cut(docs):
     assert count.tolist() == [4, 2] and size.tolist() == [104, 4] and np.isfinite(logs).all()
 
 
+def test_rare_words_of_the_sample_are_trained_on(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda counts, p: seen.update(counts))
+    langid.train(spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(48_000)), "en")], "doc_id long, text string, lang string"))
+    assert len(seen["en"]) == 48_000
+
+
 # language model
 
 
