@@ -5,8 +5,8 @@ or less, so some window has all of any copy. A window that holds the share ``con
 similarity with it of at least containment / (stretch + 1 - containment); the number of bands of ``rows`` MinHash values is
 the smallest that lets such a window be missed with a probability of ``miss`` at most. Where no window can hold that share
 (windows.py: a filter that loses nothing) nothing is fingerprinted. A retrieved template counts if the share of its
-distinct shingles that the window has reaches ``containment``, and no other license has more of its own in a best window
-that overlaps.
+distinct shingles that the window has reaches ``containment``, and no other license has more of its own at a place that
+overlaps: the shortest stretch of the best window that has all of its matched shingles, as the window is longer than the wording.
 
 Nulls and odd cases: a null or empty text, or one without words, holds no license; a row without an id is reported
 without one; rows that repeat an id are scanned each; a text shorter than a window is one window. An empty table gives no
@@ -48,6 +48,20 @@ class LicenseScan:
         return math.ceil(math.log(self.miss) / math.log(1 - self.least**self.rows))
 
 
+def stretch_of(hit: np.ndarray) -> tuple[int, int]:
+    """The shortest range that has every distinct value of ``hit`` other than 0, the first of these."""
+    at = np.flatnonzero(hit)
+    last: dict[int, int] = {}
+    best, whole = (0, len(hit)), len(np.unique(hit[at]))
+    for i in at.tolist():
+        last.pop(int(hit[i]), None)
+        last[int(hit[i])] = i
+        first = next(iter(last.values()))
+        if len(last) == whole and i + 1 - first < best[1] - best[0]:
+            best = (first, i + 1)
+    return best
+
+
 class Templates:
     """Shingles, window sizes and band values of the templates. One of fewer words than n has one shingle."""
 
@@ -93,6 +107,7 @@ class Templates:
             sh, off = T.shingles(T.words(data[boff[r0] : boff[r1]], boff[r0 : r1 + 1] - boff[r0]), p.n)
             hits, which = self.members.find(sh)
             best: dict[tuple[int, str], tuple[float, int, int]] = {}
+            place: dict[tuple[int, str], tuple[int, int]] = {}
             for d, lo, hi in regions(hits, off, share, least, int(self.window.max())):
                 x, y = np.searchsorted(hits, [lo, hi])
                 can = self.possible(which[x:y])
@@ -113,8 +128,12 @@ class Templates:
                         key, value = (r0 + d, self.names[t]), (c, int(start[i] - off[d]), size + p.n - 1)
                         if c >= p.containment and (key not in best or (-c, *value[1:]) < (-best[key][0], *best[key][1:])):
                             best[key] = value
+                            part = sh[start[i] : start[i] + size]
+                            x, y = stretch_of(np.where(np.isin(part, self.sets[t]), np.searchsorted(self.sets[t], part) + 1, 0))
+                            place[key] = (value[1] + x, value[1] + y)
             for (r, name), (c, at, size) in sorted(best.items()):
-                near = (v for (q, _), v in best.items() if q == r and v[1] < at + size and at < v[1] + v[2])
+                x, y = place[r, name]
+                near = (v for k, v in best.items() if k[0] == r and place[k][0] < y and x < place[k][1])
                 if c >= max(v[0] for v in near):
                     yield r, name, c, at, size
 

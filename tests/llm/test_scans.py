@@ -13,7 +13,7 @@ from sparktok.llm import secrets as S
 from sparktok.llm import text as T
 from sparktok.llm import toxicity as X
 from sparktok.llm.automaton import GUARD, Combined
-from sparktok.llm.licenses import MIT, TEMPLATES
+from sparktok.llm.licenses import APACHE, MIT, TEMPLATES
 
 from .conftest import messy_rows, prose
 
@@ -70,6 +70,13 @@ def test_license_places(spark):
     assert (1 - p.least**p.rows) ** p.bands <= p.miss
 
 
+def test_licenses_side_by_side_are_both_found():
+    notice = APACHE.replace("compliance", "accordance").replace("express", "stated")
+    for text in (MIT + " " + notice, notice + " " + MIT):
+        got = L.Templates(TEMPLATES, L.LicenseScan()).scan(pa.array([text.lower()]))
+        assert {name for _, name, *_ in got} == {"MIT", "Apache-2.0"}
+
+
 # toxicity
 
 
