@@ -1,7 +1,8 @@
 """Secret scans: one deterministic automaton for all rules reads each byte once.
 
 The rules are compiled by subset construction and minimised into transition arrays (automaton.py). Lines are read side by
-side as arrays, as no rule goes past a line break. Only where the automaton says that a match of a rule ends is the
+side as arrays, as no rule of the automaton goes past a line break; a private key with its END line is one secret from header
+to footer, found by BLOCKS. Only where the automaton says that a match of a rule ends is the
 rule's reversed automaton run back to its first possible start. Of the matches of one rule in a text the leftmost, then
 the longest, counts, and the next is looked for behind it.
 
@@ -11,6 +12,7 @@ an id are scanned each. An empty table gives no rows. Only the columns named are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,10 +34,13 @@ RULES: list[tuple[str, str]] = [
     ("slack_token", r"xox[abprs]-[0-9A-Za-z\-]{10,64}"),
     ("stripe_key", r"[rs]k_(live|test)_[0-9A-Za-z]{24,99}"),
     ("json_web_token", r"eyJ[0-9A-Za-z_\-]{8,}\.eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}"),
-    ("private_key", r"-----BEGIN ([A-Z]+ ){0,3}PRIVATE KEY-----"),
+    ("private_key", r"-----BEGIN ([A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"),
     ("assigned_secret", r"(?i)(access_?|auth_?|api_?|client_?|private_?|secret_?)?(token|secret|password|passwd|pwd|key)[ \t]*[=:][ \t]*[\"']?[0-9a-z_\-]{16,}"),
 ]
 
+#: Rules whose secrets go on over line breaks: from BEGIN to the END of the same name, with no other line of dashes between, which PEM and PGP bodies don't have.
+BLOCKS: dict[str, re.Pattern[bytes]] = {"private_key": re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?)-----(?:(?!-----)[\s\S])*-----END \1-----")}
+
 
 @cache
 def compiled(rules: tuple[tuple[str, str], ...]) -> Combined:
@@ -45,15 +50,19 @@ def compiled(rules: tuple[tuple[str, str], ...]) -> Combined:
 def spans(col: pa.Array, rules: tuple[tuple[str, str], ...]) -> Iterator[tuple[int, int, int, int]]:
     """(row, rule, first byte, end byte) of the secrets in texts that end with a line break, in order of row, rule and place."""
     auto = compiled(rules)
+    blocks = [(k, BLOCKS[name]) for k, (name, _) in enumerate(rules) if name in BLOCKS]
     data, boff = T.buffers(col)
     for r0, r1 in T.rows(boff, 1 << 22):
         part, off = data[boff[r0] : boff[r1]], boff[r0 : r1 + 1] - boff[r0]
         place, mark = auto.read(part, off)
-        if not len(place):
-            continue
         raw = part.tobytes()
         row = np.searchsorted(off, place, "right") - 1
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, block in blocks:
+            for m in block.finditer(raw):
+                d = int(np.searchsorted(off, m.start(), "right")) - 1
+                if m.end() <= off[d + 1]:
+                    found.setdefault((d, k), []).append(m.span())
         for d, e, m in zip(row.tolist(), place.tolist(), mark.tolist(), strict=True):
             for k in range(len(rules)):
                 if m >> k & 1:

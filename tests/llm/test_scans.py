@@ -207,6 +207,15 @@ def test_secrets_and_redaction(spark):
     assert S.secrets(S.redact(df)).count() == 0
 
 
+def test_private_keys_are_redacted_with_their_body():
+    for name in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        key = f"-----BEGIN {name}-----\nProc-Type: 4,ENCRYPTED\n\n" + "MIIEow+/Ab\n" * 20 + f"-----END {name}-----"
+        texts = ["é\n" + key + "\nafter\n", key.replace("\n", "\\n") + "\n", key[:60] + "\n", f"-----END {name}-----\n"]
+        whole = [(r, s, e) for r, k, s, e in S.spans(pa.array(texts), tuple(S.RULES)) if S.RULES[k][0] == "private_key"]
+        size = len(texts[1]) - 1
+        assert whole[:2] == [(0, 3, 3 + len(key)), (1, 0, size)] and whole[2] == (2, 0, len(f"-----BEGIN {name}-----")) and len(whole) == 3
+
+
 # decontamination
 
 
