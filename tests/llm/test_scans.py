@@ -216,6 +216,16 @@ def test_private_keys_are_redacted_with_their_body():
         assert whole[:2] == [(0, 3, 3 + len(key)), (1, 0, size)] and whole[2] == (2, 0, len(f"-----BEGIN {name}-----")) and len(whole) == 3
 
 
+@pytest.mark.parametrize("text, secret", [
+    ("DB_PASSWORD=hunter2hunter2hunter2", "DB_PASSWORD=hunter2hunter2hunter2"), ("export MY_API_KEY='abcdefgh12345678' ", "MY_API_KEY='abcdefgh12345678"),
+    ("aws_secret_access_key = wJalr/XUtnFEMI+K7MDENG/bPxRfiCYEXAMPLEKEY", "aws_secret_access_key = wJalr/XUtnFEMI+K7MDENG/bPxRfiCYEXAMPLEKEY"), ('{"api_key": "abcdefgh12345678"}', 'api_key": "abcdefgh12345678'),
+    ("My key: abc/def+ghi.jklmnop==.", "key: abc/def+ghi.jklmnop=="), ("xoxp-" + "123456789012-" * 3 + "0123456789abcdef" * 2, "xoxp-" + "123456789012-" * 3 + "0123456789abcdef" * 2), ("keys: abcdefgh12345678", None), ("key: short", None),
+])
+def test_common_secrets_are_found(text, secret):
+    got = [text[s:e] for _, _, s, e in S.spans(pa.array([text + "\n"]), tuple(S.RULES))]
+    assert got == ([secret] if secret else [])
+
+
 # decontamination
 
 
