@@ -32,4 +32,5 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0."),
     ("All-Rights-Reserved", "No part of this publication may be reproduced, stored or transmitted in any form without the prior written permission of the publisher."),
+    ("All-Rights-Reserved", "All rights reserved."),
 ]

@@ -77,6 +77,12 @@ def test_licenses_side_by_side_are_both_found():
         assert {name for _, name, *_ in got} == {"MIT", "Apache-2.0"}
 
 
+def test_all_rights_reserved_is_found():
+    texts = ["all rights reserved.", prose(1, 300).lower() + "\nall rights reserved.\n" + prose(2, 300).lower(), "all rights are reserved"]
+    got = L.Templates(TEMPLATES, L.LicenseScan()).scan(pa.array(texts))
+    assert [(r, name) for r, name, *_ in got] == [(0, "All-Rights-Reserved"), (1, "All-Rights-Reserved")]
+
+
 # toxicity
 
 
