@@ -7,7 +7,8 @@ agree up to radius // blocks bits in one block at least, so looking up every val
 What is found is verified by the weighted Jaccard similarity of both bags of shingles.
 
 The benchmark goes to the tasks in chunks of at most ``chunk`` characters, each a pass over the texts: benchmarks are
-small, and one that isn't costs passes, not memory.
+small, and one that isn't costs passes, not memory. Weights are those of the whole benchmark in every chunk: each gets the
+number of items and the shingles that are in more than one item, about 16 bytes each; all others weigh the same.
 
 Nulls and odd cases: a null or empty text, or one without words, matches nothing, nor does such an item; a row without an
 id is scanned, and reported without an id; items without an id are left out; rows that repeat an id are scanned
@@ -55,9 +56,9 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints, block tables and weighted bags of some items."""
+    """Fingerprints, block tables and weighted bags of some items. whole: the items of the benchmark that have shingles, and the shingles of more than one with their numbers of items, where these items are a part of it."""
 
-    def __init__(self, items: list[tuple[int, str | None]], p: Decontam):
+    def __init__(self, items: list[tuple[int, str | None]], p: Decontam, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.p = p
         w, sh, off = T.hash_texts([t for _, t in items], p.n)
         keep = np.flatnonzero(np.diff(off))
@@ -68,10 +69,15 @@ class Index:
         n = len(keep)
         distinct = [np.unique(b) for b in bags]
         flat = np.concatenate(distinct) if n else np.zeros(0, np.uint64)
-        self.members = Members(flat)
+        # shingles of other items that weigh less are members too, as regions() needs those outside to weigh most
+        self.members = Members(flat if whole is None else np.concatenate([flat, whole[1]]))
         df = np.bincount(np.searchsorted(self.members.values, flat), minlength=len(self.members.values)) if n else np.zeros(0)
-        self.weight = np.log1p(n / np.maximum(df, 1)) if n else np.zeros(0)
-        self.other = float(np.log1p(n))
+        every, among = n, df
+        if whole is not None and n:
+            every, among = whole[0], np.ones(len(df))
+            among[np.searchsorted(self.members.values, whole[1])] = whole[2]
+        self.weight = np.log1p(every / np.maximum(among, 1)) if n else np.zeros(0)
+        self.other = float(np.log1p(every))
         owner = np.repeat(np.arange(n), [len(d) for d in distinct])
         order = np.argsort(np.searchsorted(self.members.values, flat), kind="stable")
         self.owner = owner[order]
@@ -158,19 +164,40 @@ class Index:
                 yield r, k, s, int(at - off[d]), int(self.words[k])
 
 
-def _chunks(benchmark: DataFrame, p: Decontam, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
+def _whole(items: DataFrame, p: Decontam) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items have shingles, and the shingles of more than one item with how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, sh, off = T.hash_texts(b.column("text").to_pylist(), p.n)
+            own = [np.unique(sh[i:j]) for i, j in zip(off[:-1], off[1:], strict=True) if j > i]
+            if own:
+                flat = np.concatenate(own).view(np.int64)
+                first = np.concatenate([np.arange(len(x)) == 0 for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(first.astype(np.int64))], ["sh", "first"])
+
+    rows = items.select("text").mapInArrow(tidy(run), "sh long, first long")
+    n = int(rows.agg(F.sum("first")).first()[0] or 0)
+    got = rows.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    values, count = got["sh"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(values)
+    return n, values[order], count[order]
+
+
+def _indexes(benchmark: DataFrame, p: Decontam, id_col: str, text_col: str) -> Iterator[Index]:
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     n = int((items.select(F.sum(F.length("text"))).first()[0] or 0) // p.chunk) + 1
+    whole = _whole(items, p) if n > 1 else None
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield sorted(((r.id, r.text) for r in part.collect()), key=lambda x: (x[0], x[1] or ""))
+        yield Index(sorted(((r.id, r.text) for r in part.collect()), key=lambda x: (x[0], x[1] or "")), p, whole)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: the best window for each text and each item that it holds."""
     docs, out = texts(df, id_col, text_col), None
-    for items in _chunks(benchmark, p, item_col, item_text):
-        index = df.sparkSession.sparkContext.broadcast(Index(items, p))
+    for part in _indexes(benchmark, p, item_col, item_text):
+        index = df.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -191,8 +218,8 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, p: Decontam = Deconta
     """The rows of df whose text holds no benchmark item; decided row by row, so nothing is shuffled."""
     out = df
     bound_batches(df.sparkSession)
-    for items in _chunks(benchmark, p, item_col, item_text):
-        holds = _holds(df.sparkSession.sparkContext.broadcast(Index(items, p)))
+    for part in _indexes(benchmark, p, item_col, item_text):
+        holds = _holds(df.sparkSession.sparkContext.broadcast(part))
         out = out.where(~holds(F.coalesce(F.lower(F.col(text_col)), F.lit(""))))
     return out
 

@@ -283,6 +283,17 @@ def test_contamination_agrees_with_brute_force(spark):
     assert {k for k in sure if k in got} <= chunked
 
 
+def test_chunks_of_a_benchmark_give_what_the_whole_gives(spark):
+    shared = prose(77, 12)
+    items = [f"{shared if k % 3 else ''} {prose(900 + k, 14)}" for k in range(30)] + ["", None]
+    texts = [" ".join([prose(k, 20), *items[k % 30].split()[: 26 - k % 9], prose(k + 50, 20)]) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want, got = ({(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in D.contamination(docs, bench, D.Decontam(chunk=c)).collect()} for c in (8_000_000, 1500))
+    assert len(want) > 40 and len({s for s, *_ in want.values()}) > 5 and got == want
+    assert D.drop_contaminated(docs, bench, D.Decontam(chunk=1500)).count() == len(texts) - len({d for d, _ in want})
+
+
 def test_all_within_the_radius_are_found():
     import numpy as np
 
