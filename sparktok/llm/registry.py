@@ -18,7 +18,8 @@ from .mixing import copies
 from .ngram_join import jaccard_join
 from .secrets import secrets
 from .topk import top_k
-from .toxicity import EXCEPTIONS, LEXICON, toxic_documents
+from .toxic_terms import Learning, learn
+from .toxicity import EXCEPTIONS, LEXICON, Toxicity, toxic_documents
 from .word_lm import word_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents whose score is over the threshold, with their scores."""
-    return toxic_documents(table(spark, sf_dir, "documents"))
+    """The documents whose score is over the threshold, with their scores; the lexicon has what a sample of labelled documents teaches."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxic_documents(docs, learned=learn(docs, table(spark, sf_dir, "labels"), Toxicity().threshold))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "score")})
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +120,57 @@ WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND o.pos < b.pos
 _FOLDED = {"a": "[a4@]", "b": "[b8]", "e": "[e3]", "g": "[g9]", "i": "[i1!|]", "l": "[l1!|]", "o": "[o0]", "s": "[s5$]", "t": "[t7+]", " ": "  "}
 
 
+def _spelt(term: str) -> str:
+    return "".join(_FOLDED.get(c, c) for c in term)
+
+
 def _any_of(terms: list[str]) -> str:
     """One of some terms as whole words, in a text that has two blanks between words and around."""
-    return _quoted(" (?:" + "|".join("".join(_FOLDED.get(c, c) for c in t) for t in sorted(terms, key=len, reverse=True)) + ") ")
+    return _quoted(" (?:" + "|".join(_spelt(t) for t in sorted(terms, key=len, reverse=True)) + ") ")
+
+
+def _gain(a: str, b: str, p: str, n: str) -> str:
+    """G² of toxic_terms.gain()."""
+    k = f"({a} + {b})"
+    part = lambda x, e: f"(CASE WHEN {x} > 0 THEN {x} * ln({x} / ({e})) ELSE 0 END)"
+    rest, all_ = f"({p} + {n} - {k})", f"({p} + {n})::DOUBLE"
+    return f"CASE WHEN {a} * {n} > {b} * {p} THEN round(2 * ({part(a, f'{k} * {p} / {all_}')} + {part(b, f'{k} * {n} / {all_}')} + {part(f'({p} - {a})', f'{rest} * {p} / {all_}')} + {part(f'({n} - {b})', f'{rest} * {n} / {all_}')}), 6) ELSE 0 END"
 
 
-_WEIGHTS = sorted(set(LEXICON.values()))
-#: Accents and digits are folded as the operator does; look-alikes of other scripts, which no table has, are not.
+_LEARN = Learning()
+_PHRASES = [t for t in LEXICON if " " in t]
+#: Accents and digits are folded as the operator does; look-alikes of other scripts, which no table has, are not. All labelled
+#: documents are learned from, which is what the operator does up to its bound. No automaton, and terms are chosen over lists.
 SQL2 = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[$]?[\\p{{L}}\\p{{N}}]+(?:[@$!|+][\\p{{L}}\\p{{N}}]+)*') AS w FROM documents),
-t AS (SELECT doc_id, len(w)::BIGINT AS n, regexp_replace('  ' || array_to_string(w, '  ') || '  ', {_any_of(EXCEPTIONS)}, ' * ', 'g') AS t FROM w),
-c AS (SELECT doc_id, n, {", ".join(f"len(regexp_extract_all(t, {_any_of([t for t, x in LEXICON.items() if x == w])})) AS c{k}" for k, w in enumerate(_WEIGHTS))} FROM t),
-s AS (SELECT doc_id, n AS n_words, ({" + ".join(f"c{k}" for k in range(len(_WEIGHTS)))})::BIGINT AS n_terms, ({" + ".join(f"{w}::DOUBLE * c{k}" for k, w in enumerate(_WEIGHTS))})::DOUBLE AS weight FROM c)
-SELECT *, 1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE AS score FROM s WHERE 1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE > 2.5
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(strip_accents(lower(text)), '[$]?[\\p{{L}}\\p{{N}}]+(?:[@$!|+][\\p{{L}}\\p{{N}}]+)*') AS w FROM documents),
+lab AS (SELECT doc_id, max((toxic > 0)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+one AS (SELECT doc_id, min(text) AS text, max(toxic) AS toxic FROM w JOIN lab USING (doc_id) WHERE text IS NOT NULL GROUP BY doc_id),
+d AS (SELECT lower(text) AS text, max(toxic) AS toxic, min(doc_id) AS doc FROM one GROUP BY lower(text)),
+dw AS (SELECT d.doc, d.toxic, len(any_value(w.w)) AS words, any_value(w.w) AS w FROM d JOIN w ON lower(w.text) = d.text GROUP BY d.doc, d.toxic),
+word AS (SELECT doc, w, count(*) AS n FROM (SELECT doc, translate(unnest(w), '0134578 9@$!|+l', 'oieastb gasiiti') AS w FROM dw) GROUP BY doc, w),
+spelt AS (SELECT * FROM word WHERE regexp_full_match(w, '[a-z]{{{_LEARN.shortest},}}')),
+term AS (SELECT doc, t, sum(n) AS n FROM (SELECT doc, n, w || '$' AS t FROM spelt WHERE len(w) <= {_LEARN.longest} UNION ALL SELECT doc, n, w[1 : unnest(range({_LEARN.shortest}, least(len(w), {_LEARN.longest}) + 1))] FROM spelt) GROUP BY doc, t),
+n AS (SELECT sum(toxic) AS p, sum(1 - toxic) AS n, sum(words) FILTER (toxic = 0) AS clean FROM dw),
+c AS (SELECT t, list(doc) FILTER (toxic = 1) AS docs, count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic = 0) AS b FROM term JOIN dw USING (doc) GROUP BY t HAVING count(*) FILTER (toxic = 1) >= {_LEARN.least}),
+likely AS (SELECT c.*, n.n FROM c, n WHERE {_gain("a", "b", "p", "n")} >= {_LEARN.gain}),
+pick AS (
+  SELECT 0 AS k, ''::VARCHAR AS t, 1e9::DOUBLE AS g, (SELECT list(doc) FROM dw WHERE toxic = 1) AS live
+  UNION ALL
+  SELECT k + 1, best.t, best.g, list_filter(live, lambda x: NOT list_contains(best.docs, x)) FROM (
+    SELECT k, live, first(struct_pack(t, g, docs) ORDER BY g DESC, len(t) DESC, t) AS best FROM (
+      SELECT k, live, t, docs, {_gain("a", "b", "p", "n")} AS g FROM (SELECT pick.k, pick.live, likely.t, docs, b, n, len(list_intersect(docs, live)) AS a, len(live) AS p FROM pick, likely WHERE pick.g >= {_LEARN.gain}) WHERE a >= {_LEARN.least})
+    GROUP BY k, live)),
+rate AS (SELECT term.t, 1000 * sum(term.n) FILTER (toxic = 1) / sum(words) FILTER (toxic = 1) AS high, coalesce(1000 * sum(term.n) FILTER (toxic = 0) / sum(words) FILTER (toxic = 0), 500.0 / any_value(n.clean)) AS low
+  FROM (SELECT DISTINCT t FROM pick WHERE g >= {_LEARN.gain} AND k > 0) JOIN term USING (t) JOIN dw USING (doc), n GROUP BY term.t),
+learned AS (SELECT t, round(least({_LEARN.most}, 2.5 * ln(high / low) / (high - low)), 3) AS x FROM rate WHERE high > low),
+base AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(t.replace('l', 'i'))}, {_quoted(_spelt(t))}, {x}::DOUBLE)" for t, x in LEXICON.items() if " " not in t)}) AS v(c, spelling, x)),
+t AS (SELECT doc_id, row_number() OVER () AS r, len(w)::BIGINT AS n, regexp_replace('  ' || array_to_string(w, '  ') || '  ', {_any_of(EXCEPTIONS)}, ' * ', 'g') AS t FROM w),
+u AS (SELECT r, w, translate(w, '0134578 9@$!|+l', 'oieastb gasiiti') AS c, count(*) AS m FROM (SELECT r, unnest(string_split(t, ' ')) AS w FROM t) WHERE w NOT IN ('', '*') GROUP BY r, w),
+hit AS (SELECT r, w, m, x FROM u JOIN base ON base.c = u.c AND regexp_full_match(u.w, base.spelling)
+  UNION ALL SELECT r, w, m, x FROM u JOIN learned ON learned.t = u.c || '$' UNION ALL SELECT r, w, m, x FROM u JOIN learned ON starts_with(u.c, learned.t)),
+h AS (SELECT r, sum(m) AS terms, sum(m * x) AS weight FROM (SELECT r, w, m, max(x) AS x FROM hit GROUP BY r, w, m) GROUP BY r),
+s AS (SELECT doc_id, n AS n_words, (coalesce(terms, 0){"".join(f" + len(regexp_extract_all(t, {_any_of([x])}))" for x in _PHRASES)})::BIGINT AS n_terms, (coalesce(weight, 0){"".join(f" + {LEXICON[x]} * len(regexp_extract_all(t, {_any_of([x])}))" for x in _PHRASES)})::DOUBLE AS weight FROM t LEFT JOIN h ON h.r = t.r)
+SELECT doc_id, n_words, n_terms, round(weight, 6) AS weight, round(1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE, 6) AS score FROM s WHERE 1000::DOUBLE * weight / greatest(n_words, 20)::DOUBLE > 2.5
 """
 
 

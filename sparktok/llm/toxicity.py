@@ -4,7 +4,9 @@ Folding: letters lose case and accents, look-alikes of other scripts and compati
 and the signs @ $ ! | + become the letters that they stand for (a sign only between letters or digits, but $ before one as well), what is invisible
 goes, all else between words is one blank. ``1 ! |`` may be i or l: both are folded to one code for the search, and what is
 found is compared with the letters where the text has letters. A term counts where it is whole words, and not inside an
-exception phrase. The score is the weight of all terms per 1,000 words, of ``least_words`` words at least.
+exception phrase. The score is the weight of all terms per 1,000 words, of ``least_words`` words at least. Where labelled
+documents are given, terms and stems learned from them (toxic_terms.py) join the lexicon; of terms that begin at the same
+place the heaviest counts.
 
 Nulls and odd cases: a null or empty text, or one without words, has the score 0; a row without an id is reported without
 one; rows that repeat an id are scored each. An empty table gives no rows. Only the columns named are read.
@@ -12,6 +14,7 @@ one; rows that repeat an id are scored each. An empty table gives no rows. Only
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,13 +133,20 @@ class Toxicity:
 
 
 class Matcher:
-    def __init__(self, lexicon: dict[str, float], exceptions: list[str]):
+    """learned: weights of terms in the search form; one that ends with $ is a whole word, another what words begin with."""
+
+    def __init__(self, lexicon: dict[str, float], exceptions: list[str], learned: dict[str, float] | None = None):
         import ahocorasick
 
-        self.terms = [(t, w, t.encode("ascii")) for t, w in lexicon.items()] + [(t, None, t.encode("ascii")) for t in exceptions]
+        #: letters, weight or None for an exception, the letters to compare, whether it is a stem
+        self.terms: list[tuple[int, float | None, bytes, bool]] = [(len(t), w, t.encode("ascii"), False) for t, w in [*lexicon.items(), *((t, None) for t in exceptions)]]
         by: dict[str, list[int]] = {}
-        for k, (t, _, _) in enumerate(self.terms):
-            by.setdefault(" " + t.lower().replace("l", "i") + " ", []).append(k)
+        for k, (_, _, raw, _) in enumerate(self.terms):
+            by.setdefault(" " + raw.decode().lower().replace("l", "i") + " ", []).append(k)
+        for t, w in (learned or {}).items():
+            by.setdefault(" " + (t[:-1] + " " if t[-1] == "$" else t), []).append(len(self.terms))
+            # the letters of a search form are all that is known of it: there is nothing more to compare
+            self.terms.append((len(t.removesuffix("$")), w, b"", t[-1] != "$"))
         self.automaton = ahocorasick.Automaton()
         for key, own in by.items():
             self.automaton.add_word(key, own)
@@ -150,22 +160,27 @@ class Matcher:
         data, boff = T.buffers(col)
         for r0, r1 in T.rows(boff):
             code, strict, off, words[r0:r1] = fold(data[boff[r0] : boff[r1]], boff[r0 : r1 + 1] - boff[r0])
-            hits: list[tuple[int, int, float]] = []
-            covers: list[tuple[int, int]] = []
             if not len(self.automaton):
                 continue
+            hits: dict[int, tuple[float, int]] = {}
+            covers: list[tuple[int, int]] = []
             for end, own in self.automaton.iter(code.tobytes().decode("latin-1")):
                 for k in own:
-                    t, w, raw = self.terms[k]
-                    s = end - len(t)
-                    got = strict[s:end].tobytes()
-                    if all(x == y or x == 0 for x, y in zip(got, raw, strict=True)):
-                        if w is None:
-                            covers.append((s, end))
-                        else:
-                            hits.append((s, end, w))
-            for s, e, w in hits:
-                if not any(x <= s and e <= y for x, y in covers):
+                    n, w, raw, stem = self.terms[k]
+                    e = end + stem
+                    s = e - n
+                    if raw and not all(x == y or x == 0 for x, y in zip(strict[s:e].tobytes(), raw, strict=True)):
+                        continue
+                    if w is None:
+                        covers.append((s, e))
+                    else:
+                        hits[s] = max(hits.get(s, (0.0, 0)), (w, e))
+            covers.sort()
+            start = [x for x, _ in covers]
+            reach = np.maximum.accumulate([y for _, y in covers]) if covers else []
+            for s, (w, e) in hits.items():
+                k = bisect.bisect_right(start, s)
+                if not k or reach[k - 1] < e:
                     d = r0 + int(np.searchsorted(off, s, "right")) - 1
                     weight[d] += w
                     count[d] += 1
@@ -173,16 +188,16 @@ class Matcher:
 
 
 @cache
-def _matcher(lexicon: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]) -> Matcher:
-    return Matcher(dict(lexicon), list(exceptions))
+def _matcher(lexicon: tuple[tuple[str, float], ...], exceptions: tuple[str, ...], learned: tuple[tuple[str, float], ...]) -> Matcher:
+    return Matcher(dict(lexicon), list(exceptions), dict(learned))
 
 
-def toxicity(df: DataFrame, lexicon: dict[str, float] | None = None, exceptions: list[str] | None = None, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_terms, weight, score of every text."""
-    terms, spared = tuple((LEXICON if lexicon is None else lexicon).items()), tuple(EXCEPTIONS if exceptions is None else exceptions)
+def toxicity(df: DataFrame, lexicon: dict[str, float] | None = None, exceptions: list[str] | None = None, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text", learned: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_words, n_terms, weight, score of every text. learned: further terms, as toxic_terms.learn() gives them."""
+    terms, spared, more = tuple((LEXICON if lexicon is None else lexicon).items()), tuple(EXCEPTIONS if exceptions is None else exceptions), tuple((learned or {}).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matcher(terms, spared)
+        m = _matcher(terms, spared, more)
         for b in batches:
             weight, count, words = m.weigh(b.column("text"))
             score = 1000 * weight / np.maximum(words, p.least_words)
@@ -191,6 +206,6 @@ def toxicity(df: DataFrame, lexicon: dict[str, float] | None = None, exceptions:
     return texts(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_words long, n_terms long, weight double, score double")
 
 
-def toxic_documents(df: DataFrame, p: Toxicity = Toxicity(), **columns: str) -> DataFrame:
+def toxic_documents(df: DataFrame, p: Toxicity = Toxicity(), **more) -> DataFrame:
     """The rows of toxicity() whose score is over the threshold."""
-    return toxicity(df, p=p, **columns).where(f"score > {p.threshold}")
+    return toxicity(df, p=p, **more).where(f"score > {p.threshold}")
