@@ -31,14 +31,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         _MADE.append(self.at)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, by: str, buckets: int, parted: str) -> DataFrame:
+        """A table laid out by the hash of a column, so that joins on it don't move its rows. Row groups are small: rows may be large."""
+        table = f"sparktok_{uuid.uuid4().hex}"
+        out = df.write.option("path", f"{self.at}/{name}").option("compression", "zstd").option("parquet.block.size", 16 << 20)
+        out.partitionBy(parted).bucketBy(buckets, by).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Frees what no later step reads."""
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
         _delete(self.spark, [f"{self.at}/{name}" for name in names])
 
 

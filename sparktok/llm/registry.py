@@ -14,13 +14,13 @@ from .decontam import contamination
 from .langid import language_id
 from .license_scan import license_scan
 from .licenses import TEMPLATES
+from .lm import lm_scores
 from .mixing import copies
 from .ngram_join import jaccard_join
 from .secrets import secrets
 from .topk import top_k
 from .toxic_terms import Learning, learn
 from .toxicity import EXCEPTIONS, LEXICON, Toxicity, toxic_documents
-from .word_lm import word_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +78,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's probability under an interpolated word n-gram model of all."""
-    return word_scores(table(spark, sf_dir, "documents"))
+    """Every document's probability under an interpolated word n-gram model of all others."""
+    return lm_scores(table(spark, sf_dir, "documents"))
 
 
 _SHINGLES = f"""

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparktok.llm import chat, langid, lm, mixing, topk
+from sparktok.llm import chat, langid, mixing, topk
 
 from .conftest import SCHEMA, messy_rows, prose
 
@@ -98,86 +98,6 @@ def test_rare_words_of_the_sample_are_trained_on(spark, monkeypatch):
     assert len(seen["en"]) == 48_000
 
 
-# language model
-
-
-def brute_lm(rows, held, p):
-    """Deleted interpolation over dictionaries. rows: (key, text); held: keys of what is held out."""
-
-    def grams_of(t):
-        b = b"\0" * (p.order - 1) + t.lower().encode()
-        return [b[i : i + p.order] for i in range(len(b) - p.order + 1)]
-
-    train, out = Counter(), Counter()
-    for k, t in rows:
-        (out if k in held else train).update(grams_of(t or ""))
-    n = {k: defaultdict(int) for k in range(1, p.order + 1)}
-    c = {k: defaultdict(int) for k in range(1, p.order + 1)}
-    for g, m in train.items():
-        for k in n:
-            n[k][g[p.order - k :]] += m
-            c[k][g[p.order - k : -1]] += m
-
-    def parts(g):
-        return [1 / 256] + [n[k][g[p.order - k :]] / c[k][g[p.order - k : -1]] if c[k][g[p.order - k : -1]] else 0.0 for k in n]
-
-    def bucket(g):
-        x = c[p.order][g[:-1]]
-        return 0 if x == 0 else min(p.buckets - 1, 1 + int(math.floor(math.log2(x + 0.5))))
-
-    w = [[1 / (p.order + 1)] * (p.order + 1) for _ in range(p.buckets)]
-    for _ in range(p.iterations):
-        mass = [[0.0] * (p.order + 1) for _ in w]
-        for g, m in out.items():
-            own = [x * y for x, y in zip(w[bucket(g)], parts(g), strict=True)]
-            for k, x in enumerate(own):
-                mass[bucket(g)][k] += m * x / sum(own)
-        for b, own in enumerate(mass):
-            if sum(own) > 0:
-                new = [max(x / sum(own), 1e-6 if k == 0 else 0.0) for k, x in enumerate(own)]
-                w[b] = [x / sum(new) for x in new]
-    return [(k, sum(math.log(sum(x * y for x, y in zip(w[bucket(g)], parts(g), strict=True))) for g in grams_of(t or ""))) for k, t in rows]
-
-
-def test_scores_agree_with_brute_force(spark):
-    rows = [(k, prose(k % 17, 12 + k % 5) + (" é漢" if k % 9 == 0 else "")) for k in range(60)] + [(60, ""), (61, None), (62, "A")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (lm.DeletedInterpolation(order=3, folds=4), lm.DeletedInterpolation(order=5, folds=3, iterations=3)):
-        held = {r.doc_id for r in df.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(p.folds)) == 0).collect()}
-        assert 5 < len(held) < 40
-        want = dict(brute_lm(rows, held, p))
-        got = {r.doc_id: r for r in lm.lm_scores(df, p).collect()}
-        assert all(abs(got[k].logprob - want[k]) < 1e-6 for k in want)
-        assert got[60].bits_per_byte is None and got[61].n_bytes == 0
-        joined = {r.doc_id: r.logprob for r in lm.lm_scores(df, lm.DeletedInterpolation(order=p.order, folds=p.folds, iterations=p.iterations, join=True)).collect()}
-        assert all(abs(joined[k] - want[k]) < 1e-6 for k in want)
-
-
-def test_junk_scores_worse(spark):
-    draw = random.Random(1)
-    rows = [(k, prose(k, 40)) for k in range(80)] + [(100, "".join(draw.choice("qwxzj#%&") for _ in range(200)))]
-    got = {r.doc_id: r.bits_per_byte for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[100] > 2 * max(got[k] for k in range(80))
-
-
-def test_probabilities_sum_to_one_at_most(spark, docs):
-    at = lm.Scratch(spark, "t")
-    logs, weights = lm.model(docs, at)
-    by = logs.groupBy(F.shiftright("g", 8)).agg(F.sum(F.exp("logp")).alias("p")).agg(F.max("p")).first()[0]
-    assert by <= 1 + 1e-6 and all(abs(sum(w) - 1) < 1e-9 for w in weights)
-
-
-def test_scores_of_odd_tables(spark, messy, plain, empty):
-    for join in (False, True):
-        p = lm.DeletedInterpolation(join=join)
-        a = sorted((str(r.doc_id), r.n_bytes, round(r.logprob, 4)) for r in lm.lm_scores(messy, p).collect())
-        b = sorted((str(r.doc_id), r.n_bytes, round(r.logprob, 4)) for r in lm.lm_scores(plain, p).collect())
-        assert a == b and len(a) == len(messy_rows())
-        assert lm.lm_scores(empty, p).count() == 0
-    only = spark.createDataFrame([(5, None), (6, "")], "doc_id long, text string")
-    assert [r.logprob for r in lm.lm_scores(only).collect()] == [0.0, 0.0]
-
-
 # top-k
 
 
