@@ -204,9 +204,13 @@ def _count(p: DeletedInterpolation, bits: int, parts: int):
 
 
 def _answer(p: DeletedInterpolation):
-    """The totals of a part's n-grams, for each chunk in its blob's order; and how many tokens there are, in all and different, padding counted."""
+    """The totals of the n-grams of one part, a whole partition, for each chunk in its blob's order; and how many tokens there are, in all and different, padding counted."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
         raws = t["blob"].to_pylist()
         answers: list[list[bytes]] = [[] for _ in raws]
         at = [0] * len(raws)
@@ -228,7 +232,8 @@ def _answer(p: DeletedInterpolation):
                 answers[r].append(pack(each[off[r] : off[r + 1]]))
         once = np.zeros((2, len(raws)), np.int64)
         once[:, 0] = kinds, number
-        return pa.table([t["chunk"], t["part"], t["docs"], pa.array(once[0]), pa.array(once[1]), pa.array([b"".join(x) for x in answers], pa.binary())], ["chunk", "part", "docs", "kinds", "number", "answer"])
+        out = pa.table([t["chunk"], t["part"], t["docs"], pa.array(once[0]), pa.array(once[1]), pa.array([b"".join(x) for x in answers], pa.binary())], ["chunk", "part", "docs", "kinds", "number", "answer"])
+        yield from out.to_batches()
 
     return run
 
@@ -349,7 +354,8 @@ def lm_scores(df: DataFrame, p: DeletedInterpolation = DeletedInterpolation(), i
     tasks = min(tasks, 100_000)
     chunks = at.bucketed(docs.mapInArrow(tidy(_chunks(p)), "chunk long, ids array<long>, texts array<string>, held boolean"), "chunks", "chunk", tasks, "held")
     blobs = chunks.select("chunk", "texts").mapInArrow(tidy(_count(p, bits, parts)), "part long, chunk long, docs long, blob binary")
-    answers = at.save(blobs.groupBy("part").applyInArrow(_answer(p), "chunk long, part long, docs long, kinds long, number long, answer binary"), "answers")
+    # a part is a task: by hash, some tasks would have several
+    answers = at.save(blobs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(tidy(_answer(p)), "chunk long, part long, docs long, kinds long, number long, answer binary"), "answers")
     seen = answers.agg(F.sum("kinds"), F.sum("number"), F.sum("docs")).first()
     # the padding before texts is a kind of token of its own, once a text
     kinds, number = (seen[0] or 1) - 1, (seen[1] or 0) - (seen[2] or 0)

@@ -2,18 +2,25 @@
 
 1. Texts with the same sequence of words are one *class*, whose smallest id stands for it: n copies cost n rows, not n² pairs.
 2. Each class gets ``bands * rows`` MinHash values; classes that agree in all rows of a band share a *bucket*. The bands are
-   chosen such that a pair at the threshold is found with a probability of ``recall`` at least. Buckets with the same
-   members are merged, and each is brought together once with its members' values and texts; one of more than ``tile``
-   shingles is cut into blocks that meet in pairs, so that a task's memory stays bounded, with no pair left out.
+   chosen such that a pair at the threshold is found with a probability of ``recall`` at least. Buckets are only counted and
+   fingerprinted, never listed: of those with the same members one is kept, and each kept one is brought together once with
+   its members' values and texts. One of more than ``tile`` shingles is cut by hash into blocks that meet in pairs, so that a
+   task's memory stays bounded, with no pair left out.
 3. Within a bucket, a pair is looked at only if no earlier band has it, so nothing is done twice and no pairs are
    shuffled. It is compared a few MinHash values at a time. With m of n equal, the posterior of the Jaccard similarity
    under a uniform prior is Beta(m + 1, n - m + 1); the pair is dropped as soon as its probability of reaching the
    threshold falls below ``tolerance``.
-4. Whatever is left is verified by its exact sets of shingles, and written out for all copies of both classes.
+4. Whatever is left is verified by its exact sets of shingles. A block gives each class's number of linked documents, and
+   edges that connect what is linked, fewer than it has members. Edges are joined to components; each document gets its
+   component and the links of its text. So the result has a row a document, however large its group.
 
-Nulls and odd cases: a row without an id is in no pair; a null text, or one without words, is similar to nothing; a text
-of fewer than n words has one shingle, of all its words. Rows that repeat an id are one document, similar to whatever one
-of its texts is similar to, never to itself. An empty table gives no pairs. Only the two columns named are read.
+A link is a pair of documents whose similarity reaches the threshold. jaccard_join() gives each document's number of links and
+the smallest id among all that links connect; near_duplicates() those that aren't the smallest of theirs.
+
+Nulls and odd cases: a row without an id has no links and no row; a null text, or one without words, is similar to nothing; a
+text of fewer than n words has one shingle, of all its words. Rows that repeat an id with the same words are one document;
+with different words each text's links count, those to the id's other texts too, and all are connected. An empty table gives
+no rows. Only the two columns named are read.
 """
 
 from __future__ import annotations
@@ -86,10 +93,10 @@ def minhash(sh: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def _sequence(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each sequence of shingles: two sums with each one's place mixed in."""
+def _sequence(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of shingles: the sum of each one with its place mixed in."""
     place = T.mix((np.arange(len(sh)) - np.repeat(off[:-1], np.diff(off))).astype(np.uint64))
-    return tuple(T.sums(T.mix(x), off).view(np.int64) for x in (sh ^ place, sh + place))
+    return T.sums(T.mix(sh ^ place), off).view(np.int64)
 
 
 def _signatures(p: JaccardJoin):
@@ -104,12 +111,8 @@ def _signatures(p: JaccardJoin):
                 full = np.flatnonzero(n)
                 if not len(full):
                     continue
-                k1, k2 = (x[full] for x in _sequence(sh, so))
                 sig = minhash(sh, so, p.size)[full]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).take(pa.array(full)), pa.array(k1), pa.array(k2), pa.array(n[full]), _rows(sig)],
-                    ["id", "k1", "k2", "n", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(full)), pa.array(_sequence(sh, so)[full]), pa.array(n[full]), _rows(sig)], ["id", "cid", "n", "sig"])
 
     return run
 
@@ -132,35 +135,27 @@ def _bands(p: JaccardJoin):
                 h = np.full(len(sig), np.uint64(k + 1))
                 for r in range(p.rows):
                     h = T.mix(h ^ sig[:, k * p.rows + r])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), k, np.int32)), pa.array(h.view(np.int64)), b.column("cid"), b.column("n")], ["k", "band", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), k, np.int32)), pa.array(h.view(np.int64)), b.column("cid"), b.column("n")], ["k", "band", "cid", "n"])
 
     return run
 
 
 def _tiles(p: JaccardJoin):
-    """Members of each bucket, once for each pair of blocks that they are in. side: 0 and 1 for the two blocks, 2 where both are the same."""
+    """A member of a bucket, once for each pair of blocks that its block is in. side: 0 and 1 for the two blocks, 2 where both are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("members")
-            start = lists.offsets.to_numpy()
-            flat = lists.flatten()
-            ids, n = flat.field("id").to_numpy(), flat.field("n").to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for r in range(len(b)):
-                s, e = start[r] - start[0], start[r + 1] - start[0]
-                block = (np.cumsum(n[s:e]) - 1) // p.tile
-                _, block = np.unique(block, return_inverse=True)
-                last = int(block[-1])
-                for x in range(last + 1):
-                    own = ids[s:e][block == x]
-                    for y in range(last + 1):
-                        lo, hi = min(x, y), max(x, y)
-                        for c, v in enumerate((b.column("k")[r].as_py(), b.column("band")[r].as_py(), lo * (last + 1) + hi, 2 if x == y else int(x > y))):
-                            out[c].append(np.full(len(own), v, np.int64))
-                        out[4].append(own)
-            if len(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k", "band", "tile", "side", "cid"])
+            cid = b.column("cid").to_numpy()
+            blocks = -(-b.column("shingles").to_numpy() // p.tile)
+            own = (T.mix(cid.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            # one row for each block that it meets
+            row = np.repeat(np.arange(len(cid)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine = own[row]
+            tile = np.minimum(mine, other) * blocks[row] + np.maximum(mine, other)
+            side = np.where(mine == other, 2, (mine > other).astype(np.int64))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(at), b.column("band").take(at), pa.array(tile), pa.array(side), b.column("cid").take(at)], ["k", "band", "tile", "side", "cid"])
 
     return run
 
@@ -224,51 +219,38 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _pairs(p: JaccardJoin, spread: bool):
-    """All similar pairs of documents; or, without ``spread``, edges that connect the same classes, fewer than there are members."""
+def _linked(p: JaccardJoin):
+    """The documents that a block links with each of its classes, by cid; and edges that connect the classes, as their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
+        kept: list[np.ndarray] = []
+        size = 0
         for g in _groups(batches, ("band", "k", "tile")):
-            ids, lists = g["id"].to_numpy(), g["ids"].combine_chunks()
-            start, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            ids, copies, cid = (g[c].to_numpy() for c in ("id", "copies", "cid"))
             side, sig = g["side"].to_numpy(), _matrix(g["sig"].combine_chunks(), p.size)
-            root = np.arange(len(ids))
-            for i, j, s in _meet(p, int(g["k"][0].as_py()), sig, side, _sets(g["text"].combine_chunks(), p.n)):
-                if not spread:
-                    for x in j:
-                        if root[x] != root[i]:
-                            root[root == root[x]] = root[i]
-                    continue
-                own = flat[start[i] : start[i + 1]]
-                width = start[j + 1] - start[j]
-                theirs = np.concatenate([flat[start[x] : start[x + 1]] for x in j])
-                a, b = np.tile(own, len(theirs)), np.repeat(theirs, len(own))
-                out.append((np.minimum(a, b), np.maximum(a, b), np.repeat(np.repeat(s, width), len(own))))
-                held += len(a)
-                if held > 200_000:
-                    yield _flush(out)
-                    out, held = [], 0
-            if not spread:
-                low = {r: int(ids[root == r].min()) for r in np.unique(root)}  # ids: the smallest id of each class
-                to = np.array([low[r] for r in root])
-                at = np.flatnonzero(to != ids)
-                out.append((to[at], ids[at], np.zeros(len(at))))
-                held += len(at)
-                if held > 200_000:
-                    yield _flush(out)
-                    out, held = [], 0
-        if held:
-            yield _flush(out)
+            root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+            for i, j, _ in _meet(p, int(g["k"][0].as_py()), sig, side, _sets(g["text"].combine_chunks(), p.n)):
+                links[i] += copies[j].sum()
+                links[j] += copies[i]
+                for x in np.unique(root[j]):
+                    if x != root[i]:
+                        root[root == x] = root[i]
+            at = np.flatnonzero(links)
+            if not len(at):
+                continue
+            low = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(low, root[at], ids[at])
+            kept.append(np.stack([cid[at], links[at], ids[at], low[root[at]]]))
+            size += len(at)
+            if size > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(kept, 1)], ["cid", "links", "a", "b"])
+                kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(kept, 1)], ["cid", "links", "a", "b"])
 
     return run
 
 
-def _flush(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "s"])
-
-
 def _sets(col: pa.Array, n: int) -> list[np.ndarray]:
     data, off = T.buffers(col)
     out: list[np.ndarray] = []
@@ -286,47 +268,68 @@ def _keyed(p: JaccardJoin):
             data, off = T.buffers(b.column("text"))
             for i, j in T.rows(off):
                 sh, so = T.shingles(T.words(data[off[i] : off[j]], off[i : j + 1] - off[i]), p.n)
-                k1, _ = _sequence(sh, so)
-                yield pa.RecordBatch.from_arrays([pa.array(k1), b.column("text").slice(i, j - i)], ["cid", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(_sequence(sh, so)), b.column("text").slice(i, j - i)], ["cid", "text"])
 
     return run
 
 
-def _classes(docs: DataFrame, p: JaccardJoin, at: Scratch) -> DataFrame:
-    signed = docs.mapInArrow(tidy(_signatures(p)), "id long, k1 long, k2 long, n long, sig binary")
-    grouped = signed.groupBy("k1", "k2", "n").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("sig").alias("sig"))
-    return at.save(grouped.select(F.col("k1").alias("cid"), F.element_at("ids", 1).alias("id"), "n", "ids", "sig"), "classes")
-
-
-def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch, spread: bool) -> DataFrame:
-    bands = classes.select("cid", "n", "sig").mapInArrow(tidy(_bands(p)), "k int, band long, id long, n long")
-    buckets = bands.groupBy("k", "band").agg(F.array_sort(F.collect_set(F.struct("id", "n"))).alias("members")).where("size(members) > 1")
-    merged = buckets.groupBy("members").agg(F.min(F.struct("k", "band")).alias("of")).select("of.k", "of.band", "members")
-    tiles = at.save(merged.mapInArrow(tidy(_tiles(p)), "k long, band long, tile long, side long, cid long"), "tiles")
-    member = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "ids", "sig")
+def _classes(docs: DataFrame, p: JaccardJoin, at: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(cid, n, sig, copies, id) of each class, and (id, cid) of each document's text."""
+    signed = at.save(docs.mapInArrow(tidy(_signatures(p)), "id long, cid long, n long, sig binary"), "signed")
+    members = at.save(signed.select("id", "cid").distinct(), "members")
+    copies = members.groupBy("cid").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    one = signed.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = at.save(one.join(copies, "cid"), "classes")
+    at.drop("signed")
+    return classes, members
+
+
+def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch) -> DataFrame:
+    """cid, links, a, b: links that a block adds to a class, and an edge from its id; several rows a class."""
+    bands = classes.select("cid", "n", "sig").mapInArrow(tidy(_bands(p)), "k int, band long, cid long, n long")
+    mark = [F.bit_xor(F.xxhash64("cid", F.lit(x))).alias(f"x{x}") for x in (1, 2)]
+    buckets = bands.groupBy("k", "band").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"), *mark).where("many > 1")
+    # of buckets with the same members only the first is needed: it has all their pairs
+    merged = at.save(buckets.groupBy("many", "shingles", "x1", "x2").agg(F.min(F.struct("k", "band")).alias("of")).select("of.k", "of.band", "shingles"), "buckets")
+    tiles = bands.drop("n").join(merged, ["k", "band"]).mapInArrow(tidy(_tiles(p)), "k int, band long, tile long, side long, cid long")
+    tiles = at.save(tiles, "tiles")
+    member = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "copies", "sig")
     needed = at.save(member.select("id").distinct(), "needed")
     whole = docs.join(marked_small(needed), "id", "left_semi").mapInArrow(tidy(_keyed(p)), "cid long, text string").dropDuplicates(["cid"])
     full = tiles.join(member.join(whole, "cid"), "cid")
-    return full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(tidy(_pairs(p, spread)), "a long, b long, s double")
+    met = full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(tidy(_linked(p)), "cid long, links long, a long, b long")
+    met = at.save(met, "met")
+    at.drop("buckets", "tiles", "needed")
+    return met
 
 
-def jaccard_join(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every pair of documents whose sets of word n-grams are similar: doc_id_a < doc_id_b, jaccard."""
+def _grouped(df: DataFrame, p: JaccardJoin, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """(id, cid) of each document's text; cid, id, copies, root of each class; what _met() gives."""
     at = Scratch(df.sparkSession, "jaccard")
     docs = texts(df, id_col, text_col).where("id is not null")
-    classes = _classes(docs, p, at)
-    met = _met(docs, classes, p, at, True)
-    copies = classes.where("size(ids) > 1").select(F.posexplode("ids").alias("i", "a"), "ids").where("i < size(ids) - 1")
-    copies = copies.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"), F.lit(1.0).alias("s"))
-    out = met.where("a <> b").unionByName(copies)
-    # Ids with several different texts are in several classes, and may meet another id more than once
-    again = classes.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").select("id")
-    if not again.isEmpty():
-        again, out = at.save(again, "again"), at.save(out, "pairs")
-        touched = out.join(again.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(out.join(again.withColumnRenamed("id", "a"), "a", "left_anti").join(again.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "s"))
-        rest = out.join(again.withColumnRenamed("id", "a"), "a", "left_anti").join(again.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "s")
-        out = rest.unionByName(touched.groupBy("a", "b").agg(F.max("s").alias("s")))
-    return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.col("s").alias("jaccard"))
+    classes, members = _classes(docs, p, at)
+    met = _met(docs, classes, p, at)
+    edges = met.select("a", "b")
+    # texts of one id are connected by their classes' ids
+    several = at.save(members.groupBy("id").agg(F.count("*").alias("many"), F.min("cid").alias("first")).where("many > 1").select("id", "first"), "several")
+    if not several.isEmpty():
+        of = classes.select("cid", "id")
+        same = members.join(several, "id").select("cid", "first").distinct()
+        edges = edges.unionByName(same.join(of.withColumnRenamed("id", "a"), "cid").join(of.select(F.col("cid").alias("first"), F.col("id").alias("b")), "first").select("a", "b"))
+    found = components(edges, at)
+    classes = classes.select("cid", "id", "copies").join(found.withColumnRenamed("node", "id"), "id", "left")
+    return members, classes.select("cid", "id", "copies", F.coalesce("root", "id").alias("root")), met, at
+
+
+def jaccard_join(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest id of the documents that links connect with it), n_links of every document."""
+    members, classes, met, at = _grouped(df, p, id_col, text_col)
+    links = met.groupBy("cid").agg(F.sum("links").alias("links"))
+    of = at.save(classes.join(links, "cid", "left").select("cid", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "links")
+    linked = members.join(of, "cid").select("id", "root", "links")
+    silent = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("links"))
+    every = linked.unionByName(silent).groupBy("id").agg(F.min("root").alias("class_id"), F.sum("links").alias("n_links"))
+    return every.select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 def components(edges: DataFrame, at: Scratch) -> DataFrame:
@@ -349,17 +352,10 @@ def components(edges: DataFrame, at: Scratch) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root): the documents that are connected by similar pairs with one of a smaller id, and the smallest of their group.
-
-    The same pairs as jaccard_join() has, but each bucket gives only edges that connect it, so the result is never
-    larger than the table.
-    """
-    at = Scratch(df.sparkSession, "groups")
-    docs = texts(df, id_col, text_col).where("id is not null")
-    classes = _classes(docs, p, at)
-    met = _met(docs, classes, p, at, False).select("a", "b")
-    copies = classes.select(F.col("id").alias("a"), F.explode("ids").alias("b")).where("a <> b")
-    return components(met.unionByName(copies), at)
+    """(node, root): the documents that links connect with one of a smaller id, and the smallest of those connected."""
+    members, classes, _, _ = _grouped(df, p, id_col, text_col)
+    several = classes.where("copies > 1 or root <> id").select("cid", "root")
+    return members.join(several, "cid").where("id <> root").groupBy(F.col("id").alias("node")).agg(F.min("root").alias("root"))
 
 
 def drop_near_duplicates(df: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

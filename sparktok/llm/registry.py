@@ -45,7 +45,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word trigram sets have a Jaccard similarity of 0.5 or more."""
+    """Every document's number of links, other documents whose word trigram sets have a Jaccard similarity of 0.5 or more with its own, and the class that links connect it to."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
@@ -88,11 +88,12 @@ sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
 
 SQL6 = f"""
-WITH {_SHINGLES},
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
-SELECT a AS doc_id_a, b AS doc_id_b, c::DOUBLE / (x.n + y.n - c)::DOUBLE AS jaccard
-FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5
+WITH RECURSIVE {_SHINGLES},
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pair AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c)::DOUBLE >= 0.5),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM documents WHERE doc_id IS NOT NULL UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS n_links FROM reach GROUP BY a
 """
 
 _BIGRAMS = "CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
