@@ -1,15 +1,20 @@
-"""Exact top-k search: the nearest vectors of every vector, by KD-trees per shard.
+"""Exact top-k search: the nearest of all vectors for a set of queries, by KD-trees per shard.
 
-1. Median splits of a bounded sample cut space into shards of about ``shard_rows`` vectors; any split gives right results,
-   the sample only balances them. Vectors go to their shards, one shuffle.
-2. Each shard builds a KD-tree: median splits of the widest side, tight bounding boxes. Each vector first searches its own
-   shard, best first by the bound between box and query, in batches of queries that lie together.
-3. The kth distance found there goes with the query: it visits only shards whose tight box is no farther, and within them
-   only such nodes.
-4. What the visits found is merged.
+1. Median splits of a bounded sample cut space into shards of about ``shard_rows`` vectors, 4 at least; any split gives right
+   results, the sample only balances them. A shard that gets too many vectors for that, as where many are equal, is cut
+   further by a hash of the ids. Vectors go to their shards, one shuffle; each shard builds a KD-tree: median splits of the
+   widest side, tight bounding boxes. Trees are written to a table bucketed by shard, so they don't move again.
+2. Each query searches its own shard first. Then, in rounds, it visits the next shards in the order of the bound between box
+   and query, twice as many each time, but none that is farther than the kth distance found so far; a round's results are
+   merged before the next. Only queries move. Within a shard, queries that lie together go through the tree best first.
+3. The search ends when no query has a shard left that is near enough.
 
 Distances are Euclidean, summed in double precision from the differences themselves; matrix products only sort out what
-is too far by more than their own error. Of equal distances the smaller id comes first.
+is too far by more than their own error. Of equal distances the smaller id comes first. Boxes of up to 65,536 shards go to
+all tasks, 1 kB each at 64 dimensions: where there are more vectors, shards are larger.
+
+In many dimensions without structure all boxes are near, and a query visits all shards: exact search is then queries times
+vectors, whatever the method, and the boxes only order the visits.
 
 Nulls and odd cases: a row without an id or a vector, or with an empty vector or one that has a null, a NaN or an infinity
 in it, is neither query nor neighbour. Only vectors of the same length are compared. Rows that repeat an id are one
@@ -20,25 +25,32 @@ vector, gives none. Only the columns named are read.
 from __future__ import annotations
 
 import heapq
+import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 
 @dataclass(frozen=True)
 class TopK:
+    """every: rows whose id it divides are the queries. k: neighbours. leaf: vectors in a leaf. batch: queries searched together. block: queries that go to a shard in one row. most: shards visited in a round at most. sample: vectors that splits are made from, 16 a shard at least."""
+
+    every: int = 1
     k: int = 10
     leaf: int = 256
     batch: int = 256
-    shard_rows: int = 20_000
+    block: int = 2048
+    most: int = 1024
+    shard_rows: int = 8192
+    shards: int = 32_768
     sample: int = 20_000
 
 
@@ -164,98 +176,159 @@ def _batches(x: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
         todo += [order[: len(own) // 2], order[len(own) // 2 :]]
 
 
-_FOUND = "query long, near array<struct<d:double,id:long>>"
+def _packed(tree: KdTree) -> bytes:
+    out = io.BytesIO()
+    child = np.array([c or (-1, -1) for c in tree.child], np.int64)
+    np.savez(out, x=tree.x, ids=tree.ids, low=np.array(tree.low), high=np.array(tree.high), range=np.array(tree.range, np.int64), child=child)
+    return out.getvalue()
+
+
+def _unpacked(raw: bytes) -> KdTree:
+    got = np.load(io.BytesIO(raw))
+    tree = KdTree.__new__(KdTree)
+    tree.x, tree.ids, tree.low, tree.high = (got[c] for c in ("x", "ids", "low", "high"))
+    tree.range = [*map(tuple, got["range"].tolist())]
+    tree.child = [tuple(c) if c[0] >= 0 else None for c in got["child"].tolist()]
+    tree.norm = (tree.x * tree.x).sum(1)
+    return tree
+
+
+_NEAR = "array<struct<d:double,id:long>>"
+
+
+def _lists(row: np.ndarray, dist: np.ndarray, near: np.ndarray, n: int) -> pa.Array:
+    at = np.searchsorted(row, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(dist), pa.array(near)], ["d", "id"]))
 
 
-def _found(qid: np.ndarray, row: np.ndarray, dist: np.ndarray, near: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    at = np.searchsorted(row, np.arange(len(qid) + 1))
-    pairs = pa.StructArray.from_arrays([pa.array(dist), pa.array(near)], ["d", "id"])
-    return pa.array(qid), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs)
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _order(q: np.ndarray, low: np.ndarray, high: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the places of the boxes from near to far, its own first, and their bounds in that order."""
+    bound = np.zeros((len(q), len(low)))
+    for a in range(q.shape[1]):
+        gap = np.maximum(low[:, a] - q[:, a, None], 0) + np.maximum(q[:, a, None] - high[:, a], 0)
+        bound += gap * gap
+    bound *= 1 - 1e-12
+    bound[np.arange(len(q)), home] = -1
+    order = np.argsort(bound, axis=1, kind="stable")
+    return order, np.take_along_axis(bound, order, 1)
 
 
 def _same_length(v: DataFrame, d: int, n: int, p: TopK, at: Scratch) -> DataFrame:
+    """query, near."""
     spark = v.sparkSession
-    depth = max(0, math.ceil(math.log2(n / p.shard_rows)))
-    share = min(1.0, p.sample / n)
-    drawn = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * float(1 << 30)).select("v").toArrow() if depth else None
-    splits = spark.sparkContext.broadcast(Splits(_matrix(drawn["v"], d) if depth and len(drawn) else np.zeros((0, d)), depth))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                yield pa.RecordBatch.from_arrays([pa.array(splits.value.shard(_matrix(b.column("v"), d))), b.column("id"), b.column("v")], ["shard", "id", "v"])
-
-    points = at.save(v.mapInArrow(route, "shard long, id long, v array<double>").repartition("shard"), f"points{d}")
-
-    def home(key: tuple, t: pa.Table) -> pa.Table:
-        x, ids = _matrix(t["v"], d), t["id"].to_numpy()
-        tree = KdTree(x, ids, p.leaf)
-        out = []
-        for own in _batches(tree.x, p.batch):
-            row, dist, near = tree.search(tree.x[own], tree.ids[own], np.full(len(own), np.inf), p.k)
-            q, pairs = _found(tree.ids[own], row, dist, near)
-            n_found = np.bincount(row, minlength=len(own))
-            last = np.full(len(own), np.inf)
-            ends = np.cumsum(n_found) - 1
-            last[n_found == p.k] = dist[ends[n_found == p.k]]
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * d, pa.int32()), pa.array(tree.x[own].ravel()))
-            out.append(pa.table([pa.array(np.full(len(own), key[0].as_py())), q, vec, pa.array(last), pairs], ["shard", "query", "v", "kth", "near"]))
-        return pa.concat_tables(out)
-
-    first = at.save(points.groupBy("shard").applyInArrow(home, "shard long, query long, v array<double>, kth double, near array<struct<d:double,id:long>>"), f"home{d}")
-    found = first.select("query", "near")
-    if depth:
-
-        def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low, high = {}, {}
+    rows = max(p.shard_rows, math.ceil(n / p.shards))
+    depth = max(2, math.ceil(math.log2(n / rows)))
+    share = min(1.0, max(p.sample, 16 << depth) / n)
+    drawn = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * float(1 << 30)).select("v").toArrow()
+    splits = spark.sparkContext.broadcast(Splits(_matrix(drawn["v"], d) if len(drawn) else np.zeros((0, d)), depth))
+
+    @F.arrow_udf("long")
+    def place(col: pa.Array) -> pa.Array:
+        return pa.array(splits.value.shard(_matrix(col, d)) if len(col) else np.zeros(0, np.int64))
+
+    placed = v.select(place("v").alias("place"), "id", "v")
+    many = {r["place"]: math.ceil(r["count"] / (2 * rows)) for r in placed.groupBy("place").count().collect()}
+    cuts = np.ones(1 << depth, np.int64)
+    for k, c in many.items():
+        cuts[k] = c
+    first = np.concatenate([[0], np.cumsum(cuts)])
+    shared = spark.sparkContext.broadcast(first)
+
+    @F.arrow_udf("long")
+    def shard(where: pa.Array, part: pa.Array) -> pa.Array:
+        w = where.to_numpy()
+        size = shared.value[w + 1] - shared.value[w]
+        return pa.array(shared.value[w] + part.to_numpy() % size)
+
+    points = placed.select(shard("place", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).alias("shard"), "id", "v")
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        tree = KdTree(_matrix(t["v"], d), t["id"].to_numpy(), p.leaf)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([tree.low[0].tolist()]), pa.array([tree.high[0].tolist()]), pa.array([_packed(tree)], pa.binary()), pa.array([0], pa.int32())], ["shard", "low", "high", "tree", "part"])
+
+    number = int(first[-1])
+    trees = at.bucketed(points.groupBy("shard").applyInArrow(build, "shard long, low array<double>, high array<double>, tree binary, part int"), f"trees{d}", "shard", min(number, 100_000), "part")
+    boxes = trees.select("shard", "low", "high").orderBy("shard").toArrow()
+    names, low, high = boxes["shard"].to_numpy(), _matrix(boxes["low"], d), _matrix(boxes["high"], d)
+    known: Broadcast = spark.sparkContext.broadcast((names, low, high))
+    asked = points.where(F.pmod("id", F.lit(p.every)) == 0)
+    state = asked.select(F.col("id").alias("query"), "shard", "v", F.lit(float("inf")).alias("kth"), F.lit(0).cast("long").alias("seen"), F.array().cast(_NEAR).alias("near"))
+    state = at.save(state, f"state{d}_0")
+    blocks = max(1, math.ceil(state.count() / p.block))
+    turn, width = 0, 1
+
+    def visits(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, low, high = known.value
             for b in batches:
-                x, shard = _matrix(b.column("v"), d), b.column("shard").to_numpy()
-                for s in np.unique(shard).tolist():
-                    own = x[shard == s]
-                    low[s] = np.minimum(low.get(s, np.inf), own.min(0))
-                    high[s] = np.maximum(high.get(s, -np.inf), own.max(0))
-            if low:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"shard": list(low), "low": [x.tolist() for x in low.values()], "high": [high[s].tolist() for s in low]}), preserve_index=False)
-
-        rows = points.mapInArrow(box, "shard long, low array<double>, high array<double>").collect()
-        boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for r in rows:
-            lo, hi = np.array(r.low), np.array(r.high)
-            a, b = boxes.get(r.shard, (lo, hi))
-            boxes[r.shard] = np.minimum(a, lo), np.maximum(b, hi)
-        shared = spark.sparkContext.broadcast(sorted((s, *b) for s, b in boxes.items()))
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not len(b):
-                    continue
-                q, kth, own = _matrix(b.column("v"), d), b.column("kth").to_numpy(), b.column("shard").to_numpy()
-                for s, lo, hi in shared.value:
-                    gap = np.maximum(lo - q, 0) + np.maximum(q - hi, 0)
-                    go = np.flatnonzero((own != s) & ((gap * gap).sum(1) * (1 - 1e-12) <= kth))
-                    if len(go):
-                        go = pa.array(go)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), s)), *(b.column(c).take(go) for c in ("query", "v", "kth"))], ["shard", "query", "v", "kth"])
-
-        def away(key: tuple, own: pa.Table, t: pa.Table) -> pa.Table:
-            out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], ["query", "near"])]
-            if len(own) and len(t):
-                tree = KdTree(_matrix(own["v"], d), own["id"].to_numpy(), p.leaf)
-                q, ids, kth = _matrix(t["v"], d), t["query"].to_numpy(), t["kth"].to_numpy()
-                for part in _batches(q, p.batch):
-                    got = tree.search(q[part], ids[part], kth[part], p.k)
-                    out.append(pa.table(list(_found(ids[part], *got)), ["query", "near"]))
-            return pa.concat_tables(out)
-
-        visits = first.select("shard", "query", "v", "kth").mapInArrow(visit, "shard long, query long, v array<double>, kth double")
-        found = found.unionByName(points.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(away, _FOUND))
-        found = found.groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return found.select("query", F.slice(F.array_sort("near"), 1, p.k).alias("near"))
+                for i in range(0, len(b), 256):
+                    part = b.slice(i, 256)
+                    q, kth, seen = _matrix(part.column("v"), d), part.column("kth").to_numpy(), part.column("seen").to_numpy()
+                    order, bound = _order(q, low, high, np.searchsorted(names, part.column("shard").to_numpy()))
+                    rank = np.arange(len(names))
+                    go = (rank >= seen[:, None]) & (rank < seen[:, None] + width) & (bound <= kth[:, None])
+                    r, c = np.nonzero(go)
+                    if len(r):
+                        at_ = pa.array(r)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[order[r, c]]), *(part.column(x).take(at_) for x in ("query", "v", "kth"))], ["shard", "query", "v", "kth"])
+
+        return run
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree = None, None
+        for b in batches:
+            for r in range(len(b)):
+                name = b.column("shard")[r].as_py()
+                if name != last:
+                    last, tree = name, _unpacked(b.column("tree")[r].as_py())
+                asks = b.column("asks").slice(r, 1).flatten()
+                q, ids, kth = _matrix(asks.field("v"), d), asks.field("query").to_numpy(), asks.field("kth").to_numpy()
+                for own in _batches(q, p.batch):
+                    got = tree.search(q[own], ids[own], kth[own], p.k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), _lists(*got, len(own))], ["query", "near"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether a query has a shard left to visit."""
+        names, low, high = known.value
+        for b in batches:
+            open_ = np.zeros(len(b), bool)
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                seen = part.column("seen").to_numpy()
+                _, bound = _order(_matrix(part.column("v"), d), low, high, np.searchsorted(names, part.column("shard").to_numpy()))
+                more = seen < len(names)
+                open_[i : i + len(part)] = more & (bound[np.arange(len(part)), np.minimum(seen, len(names) - 1)] <= part.column("kth").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(open_)], [*b.schema.names, "open"])
+
+    fields = f"query long, shard long, v array<double>, kth double, seen long, near {_NEAR}"
+    while True:
+        live = state.where("open") if turn else state
+        asks = live.select("query", "shard", "v", "kth", "seen").mapInArrow(tidy(visits(width)), "shard long, query long, v array<double>, kth double")
+        # a shard's queries come to it in rows of a bounded number
+        asks = asks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks))).repartition(min(number, 100_000), "shard")
+        asks = asks.groupBy("shard", "part").agg(F.collect_list(F.struct("query", "v", "kth")).alias("asks")).select("shard", "asks")
+        found = trees.select("shard", "tree").join(asks.hint("shuffle_hash"), "shard").mapInArrow(tidy(search), f"query long, near {_NEAR}")
+        merged = live.select("query", "near").unionByName(found).groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, p.k).alias("near"))
+        kth = F.when(F.size("near") == p.k, F.element_at("near", -1)["d"]).otherwise(float("inf"))
+        moved = live.drop("near", "kth", "open").join(merged, "query").select("query", "shard", "v", kth.alias("kth"), (F.col("seen") + width).alias("seen"), "near")
+        now = moved.mapInArrow(tidy(left), fields + ", open boolean")
+        state = at.save(now.unionByName(state.where("not open")) if turn else now, f"state{d}_{turn + 1}")
+        at.drop(f"state{d}_{turn}")
+        if state.where("open").isEmpty():
+            at.drop(f"trees{d}")
+            return state.select("query", "near")
+        turn, width = turn + 1, min(2 * width, p.most) if turn else 1
 
 
 def top_k(df: DataFrame, p: TopK = TopK(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), neighbor_id, distance of the k nearest vectors of every vector."""
+    """query_id, rank (from 1), neighbor_id, distance of the k nearest vectors of every query."""
     at = Scratch(df.sparkSession, "topk")
+    if p.every < 1:
+        raise ValueError("every must be positive")
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & (F.size("v") > 0)).where(~bad)

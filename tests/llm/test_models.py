@@ -117,13 +117,13 @@ def found(df, p):
     return dict(out)
 
 
-@pytest.mark.parametrize("p", [topk.TopK(k=5, leaf=8, batch=16, shard_rows=100, sample=150), topk.TopK(k=3, leaf=4, batch=8, shard_rows=60), topk.TopK(k=7)], ids=str)
+@pytest.mark.parametrize("p", [topk.TopK(k=5, leaf=8, batch=16, shard_rows=100, sample=150), topk.TopK(k=3, leaf=4, batch=8, block=7, shard_rows=30, every=2), topk.TopK(k=7, every=9)], ids=str)
 def test_topk_agrees_with_brute_force(spark, p):
     draw = np.random.default_rng(3)
     x = np.concatenate([draw.normal(size=(250, 6)), draw.normal(size=(100, 6)) * 0.01 + 5, np.repeat(draw.normal(size=(5, 6)), 12, 0), np.zeros((20, 6))])
     x = np.round(x, 3)
     rows = [(int(i), v.tolist()) for i, v in zip(draw.permutation(len(x)) * 3, x, strict=True)]
-    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p), brute_topk(rows, p.k)
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p), {i: x for i, x in brute_topk(rows, p.k).items() if i % p.every == 0}
     assert got.keys() == want.keys()
     for i in want:
         assert [d for _, d in got[i]] == [d for _, d in want[i]], i
@@ -131,6 +131,41 @@ def test_topk_agrees_with_brute_force(spark, p):
         assert got[i] == want[i] or sorted(got[i]) == sorted(want[i])
 
 
+def test_a_third_of_all_vectors_may_be_equal(spark):
+    """Equal vectors can't be split by any plane: they are cut by their ids, and ties go to the smallest of these."""
+    draw = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, draw.normal(size=3).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, np.array(x, np.float32).astype(float).tolist()) for i, x in rows]
+    p = topk.TopK(every=40, k=5, leaf=16, shard_rows=60)
+    got, want = found(df, p), brute_topk(rows, p.k)
+    assert got.keys() == {i for i in range(1200) if i % 40 == 0} and all(got[i] == want[i] for i in got)
+    assert got[80] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+
+
+def test_far_shards_are_not_visited(spark, monkeypatch):
+    """Clusters that lie apart: a query looks into its own shard, and into others only as far as the kth distance reaches."""
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(200, 4)) + 1000 * k for k in range(8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    turns = []
+    save = topk.Scratch.save
+    monkeypatch.setattr(topk.Scratch, "save", lambda self, df, name: turns.append(name) or save(self, df, name))
+    got = found(df, topk.TopK(every=10, k=5, shard_rows=200))
+    assert len(got) == 160 and sum(t.startswith("state") for t in turns) <= 4
+    want = brute_topk([(i, v.tolist()) for i, v in enumerate(x)], 5)
+    assert all([d for _, d in got[i]] == [d for _, d in want[i]] for i in got)
+
+
+def test_packed_trees_are_the_same_trees():
+    draw = np.random.default_rng(7)
+    tree = topk.KdTree(draw.normal(size=(500, 5)), np.arange(500), 20)
+    again = topk._unpacked(topk._packed(tree))
+    q = draw.normal(size=(40, 5))
+    for a, b in zip(*(t.search(q, np.full(40, -1), np.full(40, np.inf), 6) for t in (tree, again)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_topk_of_odd_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [0.0, 0.0]), (8, [1.0]), (9, [3.0]), (10, [1.0, 2.0, 3.0]), (11, [5.0, 5.0]), (11, [0.0, 1.0])]
