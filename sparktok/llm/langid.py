@@ -2,9 +2,10 @@
 
 Each language has a probability for each piece. A word's probability is the sum over all ways to cut it into pieces of the
 product of their probabilities, found by a forward pass; it stands with a blank before it, as in the vocabulary. The
-probabilities are trained by expectation-maximisation (forward and backward passes) on the words of a bounded sample of
+probabilities are trained by expectation-maximisation (forward and backward passes) on all words of a bounded sample of
 labelled rows; the vocabulary itself is never trained. All words of a block are worked on at once, column by column, and
-a word that a batch holds many times is scored once.
+a word that a batch holds many times is scored once. Words of more than ``LONG`` bytes are summed in logarithms, a block of
+places at a time with the sums at its end carried on, so words of any length are summed whole.
 
 A text goes to the language that gives its words the highest probability, of equals to the first by name. It is rejected
 if it has no words, if the log probability per word is less than ``margin`` above the next language's, or if it is less
@@ -12,8 +13,8 @@ than ``floor`` per byte, so that no language explains it.
 
 Nulls and odd cases: a null or empty text, or one without words, has no language and is rejected; a row without an id is
 reported without one; rows that repeat an id are judged each; rows without a label aren't trained on. Without any labelled
-row there are no languages and every text is rejected; with one language only ``floor`` rejects. A word longer than 31
-bytes is cut into parts of 31 that are scored as words. An empty table gives no rows. Only the columns named are read.
+row there are no languages and every text is rejected; with one language only ``floor`` rejects. Texts that several rows of
+the sample share are trained on once. An empty table gives no rows. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ from .common import bound_batches, give_back, texts, tidy
 from .windows import Members
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-PART = 31
+LONG = 31
+#: Places of a long word that are summed at once.
+STRETCH = 1 << 15
 
 
 @dataclass(frozen=True)
 class LangId:
-    """sample: labelled rows per language that are trained on, about. words: of each language's most frequent words in them. least: a piece's probability."""
+    """sample: labelled texts per language that are trained on, at most. least: a piece's probability."""
 
     vocabulary: str = VOCABULARY
     sample: int = 1000
-    words: int = 50_000
     iterations: int = 6
     least: float = 1e-8
     margin: float = 0.02
@@ -63,7 +65,6 @@ class Pieces:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-        pieces = [p for p in pieces if len(p) <= PART + 1]
         self.longest = max(map(len, pieces))
         begin, whole = set(), []
         for p in pieces:
@@ -134,6 +135,46 @@ def expected(edges: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], off:
     return np.bincount(piece, alpha[s, 0] * p[piece] * beta[e], minlength=len(p))
 
 
+def forward_logs(edges: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], base: np.ndarray, logp: np.ndarray, places: int) -> np.ndarray:
+    """The logarithm of the sum over segmentations up to each boundary, where ``base`` are the words' first ones."""
+    s, e, piece, column = edges
+    alpha = np.full((places, logp.shape[1]), -np.inf)
+    alpha[base] = 0
+    for i, j in _columns(column):
+        alpha[e[i:j]] = np.logaddexp(alpha[e[i:j]], alpha[s[i:j]] + logp[piece[i:j]])
+    return alpha
+
+
+def whole_log(v: Pieces, word: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """The logarithm of one word's probability by language, a stretch of places at a time."""
+    carried = np.full((v.longest + 1, logp.shape[1]), -np.inf)
+    carried[0] = 0
+    for i in range(0, len(word), STRETCH):
+        part = word[i : i + STRETCH + v.longest]
+        s, e, piece, column = v.edges(part, np.array([0, len(part)]))
+        own = s < STRETCH
+        alpha = np.full((len(part) + v.longest + 1, logp.shape[1]), -np.inf)
+        alpha[: v.longest + 1] = carried
+        s, e, piece = s[own], e[own], piece[own]
+        for x, y in _columns(column[own]):
+            alpha[e[x:y]] = np.logaddexp(alpha[e[x:y]], alpha[s[x:y]] + logp[piece[x:y]])
+        last = min(STRETCH, len(part))
+        carried = alpha[last : last + v.longest + 1]
+    return carried[0]
+
+
+def expected_log(v: Pieces, word: np.ndarray, logp: np.ndarray, weight: float) -> np.ndarray:
+    """expected() of one long word, in logarithms."""
+    edges = v.edges(word, np.array([0, len(word)]))
+    s, e, piece, column = edges
+    alpha = forward_logs(edges, np.array([0]), logp[:, None], len(word) + 1)[:, 0]
+    beta = np.full(len(alpha), -np.inf)
+    beta[-1] = 0
+    for i, j in reversed(_columns(column)):
+        np.logaddexp.at(beta, s[i:j], beta[e[i:j]] + logp[piece[i:j]])
+    return weight * np.bincount(piece, np.exp(alpha[s] + logp[piece] + beta[e] - alpha[-1]), minlength=len(logp))
+
+
 def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words as bytes with a blank before each."""
     size = end - start + 1
@@ -145,23 +186,10 @@ def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return out, off
 
 
-def parts(w: T.Words) -> T.Words:
-    """Words of more than PART bytes cut into parts."""
-    size = w.end - w.start
-    if not len(size) or size.max() <= PART:
-        return w
-    n = (size + PART - 1) // PART
-    word = np.repeat(np.arange(len(size)), n)
-    k = np.arange(len(word)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    start = w.start[word] + k * PART
-    end = np.minimum(start + PART, w.end[word])
-    h = T.mix(w.hash[word] ^ T.mix(k.astype(np.uint64))) * (n[word] > 1) + w.hash[word] * (n[word] == 1)
-    return T.Words(h, start, end, np.concatenate([[0], np.cumsum(n)])[w.off], w.data)
-
-
 class Model:
     def __init__(self, p: LangId, languages: list[str], probability: np.ndarray):
         self.p, self.languages, self.probability = p, languages, probability
+        self.logs = np.log(probability)
 
     def score(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's log probability by language, its words and their bytes, blanks counted."""
@@ -169,7 +197,7 @@ class Model:
         n, langs = len(col), len(self.languages)
         out, count, size = np.zeros((n, langs)), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for r0, r1 in T.rows(off, 1 << 22):
-            w = parts(T.words(data[off[r0] : off[r1]], off[r0 : r1 + 1] - off[r0]))
+            w = T.words(data[off[r0] : off[r1]], off[r0 : r1 + 1] - off[r0])
             count[r0:r1] = np.diff(w.off)
             size[r0:r1] = T.sums(w.end - w.start + 1, w.off)
             if not langs or not len(w.hash):
@@ -178,10 +206,15 @@ class Model:
             first = np.full(code.max() + 1, -1)
             first[code[::-1]] = np.arange(len(code))[::-1]
             logs = np.empty((len(first), langs))
-            for i in range(0, len(first), 8_000):
-                at = first[i : i + 8_000]
+            v, long = pieces(self.p.vocabulary), w.end[first] - w.start[first] > LONG
+            short = np.flatnonzero(~long)
+            for i in range(0, len(short), 8_000):
+                at = first[short[i : i + 8_000]]
                 b, o = spaced(w.data, w.start[at], w.end[at])
-                logs[i : i + 8_000] = np.log(forward(pieces(self.p.vocabulary).edges(b, o), o, self.probability)[1])
+                logs[short[i : i + 8_000]] = np.log(forward(v.edges(b, o), o, self.probability)[1])
+            for i in np.flatnonzero(long):
+                b, _ = spaced(w.data, w.start[first[i : i + 1]], w.end[first[i : i + 1]])
+                logs[i] = whole_log(v, b, self.logs)
             for k in range(langs):
                 out[r0:r1, k] = T.sums(logs[code, k], w.off)
         return out, count, size
@@ -209,13 +242,13 @@ def fit(counts: dict[str, dict[bytes, int]], p: LangId) -> Model:
     out = np.full((v.size, len(languages)), p.least)
     for k, language in enumerate(languages):
         found = counts[language]
-        joined = np.frombuffer(b"".join(found), np.uint8)
-        end = np.cumsum([len(x) for x in found])
-        w = parts(T.Words(np.zeros(len(end), np.uint64), end - [len(x) for x in found], end, np.array([0, len(end)]), joined))
-        n = np.array([*found.values()], float)
-        size = end - np.concatenate([[0], end[:-1]])
-        weight = np.repeat(n, (size + PART - 1) // PART)
-        b, off = spaced(joined, w.start, w.end)
+        short = [x for x in found if len(x) <= LONG]
+        joined = np.frombuffer(b"".join(short), np.uint8)
+        size = np.array([len(x) for x in short], np.int64)
+        end = np.cumsum(size)
+        b, off = spaced(joined, end - size, end) if len(size) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        weight = np.array([found[x] for x in short], float)
+        long = [(np.frombuffer(b" " + x, np.uint8), float(n)) for x, n in found.items() if len(x) > LONG]
         # a few thousand words at a time, so that their pieces stay small in the driver
         blocks = []
         for i in range(0, len(weight), 5000):
@@ -224,21 +257,26 @@ def fit(counts: dict[str, dict[bytes, int]], p: LangId) -> Model:
             blocks.append((b[off[i] : off[j]], o, weight[i:j]))
         own = np.full(v.size, 1 / v.size)
         for _ in range(p.iterations):
-            c = sum(expected(v.edges(x, o), o, own, n) for x, o, n in blocks)
+            c = sum((expected(v.edges(x, o), o, own, n) for x, o, n in blocks), np.zeros(v.size))
+            if long:
+                logs = np.log(own)
+                for x, n in long:
+                    c += expected_log(v, x, logs, n)
             own = np.maximum(c / c.sum(), p.least)
         out[:, k] = own
     return Model(p, languages, out)
 
 
 def train(df: DataFrame, p: LangId = LangId(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of the languages in lang_col. The rows with the smallest hashes of their ids are the sample."""
-    labels = df.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count()
-    share = {r["lang"]: min(1.0, p.sample / r["count"]) for r in labels.collect()}
-    if not share:
+    """The model of the languages in lang_col. The texts with the smallest hashes are the sample."""
+    docs = texts(df, id_col, text_col, lang_col).where("c0 is not null").select(F.col("c0").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
+    # a task keeps the first ``sample`` hashes of a language only: ranks are cut before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = docs.select("lang", "h").distinct().withColumn("rank", rank).where(f"rank <= {p.sample}").groupBy("lang").agg(F.max("h").alias("last")).collect()
+    if not last:
         return Model(p, [], np.zeros((0, 0)))
-    docs = texts(df, id_col, text_col, lang_col).select("id", "text", F.col("c0").cast("string").alias("lang"))
-    limit = F.element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col("lang"))
-    sample = docs.where(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit * float(1 << 30)))
+    limit = F.element_at(F.create_map(*(F.lit(x) for r in last for x in (r["lang"], r["last"]))), F.col("lang"))
+    sample = docs.where(F.col("h") <= limit).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,10 +294,12 @@ def train(df: DataFrame, p: LangId = LangId(), id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found], pa.binary()), pa.array([*found.values()], pa.int64())], ["lang", "word", "n"])
 
     words = sample.select("text", "lang").mapInArrow(tidy(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(f"k <= {p.words}")
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in top.select("lang", "word", "n").collect():
-        counts.setdefault(r.lang, {})[bytes(r.word)] = r.n
+    counts: dict[str, dict[bytes, int]] = {r["lang"]: {} for r in last}
+    got = words.toArrow()
+    for lang, word, n in zip(*(got[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][word] = n
+    # a language whose texts have no words can't be told
+    counts = {lang: own for lang, own in counts.items() if own}
     return fit(counts, p)
 
 

@@ -85,10 +85,102 @@ def test_languages_of_odd_tables(spark, messy, plain, empty):
     assert langid.language_id(one).where("accepted and doc_id = 1").count() == 1
 
 
-def test_long_words_are_cut(docs):
+def test_long_words_are_summed_whole(docs, vocabulary, monkeypatch):
+    """Words of many stretches, and of letters of two bytes, against a plain sum in logarithms over all pieces that fit."""
     model = langid.train(docs)
-    logs, count, size = model.score(pa.array(["x" * 100, "a b"]))
-    assert count.tolist() == [4, 2] and size.tolist() == [104, 4] and np.isfinite(logs).all()
+    v = langid.pieces(langid.VOCABULARY)
+    monkeypatch.setattr(langid, "STRETCH", 50)
+
+    def number(piece):
+        h = sum(int(langid.T._BYTE[b]) * pow(int(langid.T._M), k, 1 << 64) for k, b in enumerate(piece)) % (1 << 64)
+        return int(np.searchsorted(v.members.values, np.uint64(h)))
+
+    longest = max(map(len, vocabulary))
+    for word in ["достопримечательностьдостопримечательность", "x" * 400, "donaudampfschifffahrtsgesellschaftskapitän", "ab" * 16]:
+        data = (" " + word).encode()
+        total = [np.zeros(len(model.languages))] + [np.full(len(model.languages), -np.inf)] * len(data)
+        for e in range(1, len(data) + 1):
+            for s in range(max(0, e - longest), e):
+                if data[s:e] in vocabulary:
+                    total[e] = np.logaddexp(total[e], total[s] + np.log(model.probability[number(data[s:e])]))
+        logs, count, size = model.score(pa.array([word, "a b"]))
+        assert np.allclose(logs[0], total[-1], rtol=1e-9) and count.tolist() == [1, 2] and size.tolist() == [len(data), 4]
+    assert v.longest == longest
+
+
+def test_expected_counts_of_long_words_agree_with_those_of_short_ones():
+    v = langid.pieces(langid.VOCABULARY)
+    p = np.random.default_rng(0).uniform(1e-4, 1e-2, v.size)
+    data, off = np.frombuffer(" straßenbahn".encode(), np.uint8), np.array([0, 13])
+    want = langid.expected(v.edges(data, off), off, p, np.array([3.0]))
+    assert np.allclose(langid.expected_log(v, data, np.log(p), 3.0), want)
+    assert np.allclose(langid.whole_log(v, data, np.log(p)[:, None])[0], np.log(langid.forward(v.edges(data, off), off, p[:, None])[1][0, 0]))
+
+
+@pytest.mark.parametrize("ids", ["null", "same", "copies"])
+def test_the_sample_is_bounded_for_any_ids(spark, monkeypatch, ids):
+    """Rows without ids, of one id, or of one text: at most ``sample`` texts of a language are trained on."""
+    rows = [({"null": None, "same": 7, "copies": k}[ids], f"w{k % 3 if ids == 'copies' else k} x{k % 3 if ids == 'copies' else k}", "en") for k in range(3000)]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda counts, p: seen.update(counts))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.LangId(sample=10))
+    assert len(seen["en"]) == (6 if ids == "copies" else 20) and (ids != "copies" or set(seen["en"].values()) == {1})
+
+
+def test_judgement_agrees_with_a_plain_version(spark, docs, vocabulary):
+    """Training, margin, floor and rejection again, over dictionaries, with a vocabulary cut to what the words need."""
+    p = langid.LangId(sample=12, iterations=2)
+    rows = [(r.doc_id, (r.text or "").lower(), r.lang) for r in docs.collect()] + [(9001, "", "en"), (9002, "??", "de"), (9003, "word", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    languages = sorted({x for _, _, x in rows if x})
+    counts = {}
+    for x in languages:
+        first = sorted({(hashes[i], t) for i, t, y in rows if y == x})[: p.sample]
+        counts[x] = Counter(w for _, t in first for w in langid.T.word_list(t))
+    size = len(vocabulary)
+
+    def ways(word):
+        data = (" " + word).encode()
+        return data, [(s, e, data[s:e]) for s in range(len(data)) for e in range(s + 1, len(data) + 1) if data[s:e] in vocabulary]
+
+    def chance(word, prob):
+        data, edges = ways(word)
+        a = [1.0] + [0.0] * len(data)
+        for s, e, g in edges:
+            a[e] += a[s] * prob.get(g, prob[None])
+        return a
+
+    models = {}
+    for x in languages:
+        prob = {None: 1 / size}
+        for _ in range(p.iterations):
+            c = Counter()
+            for w, n in counts[x].items():
+                data, edges = ways(w)
+                a, b = chance(w, prob), [0.0] * len(data) + [1.0]
+                for s, e, g in sorted(edges, key=lambda z: -z[0]):
+                    b[s] += prob.get(g, prob[None]) * b[e]
+                for s, e, g in edges:
+                    c[g] += n * a[s] * prob.get(g, prob[None]) * b[e] / a[-1]
+            total = sum(c.values())
+            prob = {None: p.least, **{g: max(v / total, p.least) for g, v in c.items()}}
+        models[x] = prob
+    got = {r.doc_id: r for r in langid.language_id(df, p).collect()}
+    checked = 0
+    for i, t, _ in rows:
+        words = langid.T.word_list(t)
+        if len(words) > 120 or any(len(w.encode()) > 30 for w in words):
+            continue
+        checked += 1
+        if not words:
+            assert got[i].lang is None and not got[i].accepted
+            continue
+        logs = sorted(((sum(math.log(chance(w, models[x])[-1]) for w in words), x) for x in languages), key=lambda z: (-z[0], z[1]))
+        margin, per = (logs[0][0] - logs[1][0]) / len(words), logs[0][0] / sum(len(w.encode()) + 1 for w in words)
+        assert got[i].lang == logs[0][1] and abs(got[i].margin - margin) < 1e-6 and abs(got[i].score - per) < 1e-6
+        assert got[i].accepted == (margin >= p.margin and per >= p.floor)
+    assert checked > 20
 
 
 def test_rare_words_of_the_sample_are_trained_on(spark, monkeypatch):
