@@ -3,13 +3,12 @@
 1. Texts with the same sequence of words are one *class*, whose smallest id stands for it: n copies cost n rows, not n² pairs.
 2. Each class gets ``bands * rows`` MinHash values; classes that agree in all rows of a band share a *bucket*. The bands are
    chosen such that a pair at the threshold is found with a probability of ``recall`` at least. Buckets are only counted and
-   fingerprinted, never listed: of those with the same members one is kept, and each kept one is brought together once with
-   its members' values and texts. One of more than ``tile`` shingles is cut by hash into blocks that meet in pairs, so that a
+   fingerprinted, never listed: of those with the same members one is kept, and its members are brought together. One of more than ``tile`` shingles is cut by hash into blocks that meet in pairs, so that a
    task's memory stays bounded, with no pair left out.
 3. Within a bucket, a pair is looked at only if no earlier band has it, so nothing is done twice and no pairs are
    shuffled. It is compared a few MinHash values at a time. With m of n equal, the posterior of the Jaccard similarity
    under a uniform prior is Beta(m + 1, n - m + 1); the pair is dropped as soon as its probability of reaching the
-   threshold falls below ``tolerance``.
+   threshold falls below ``tolerance``. Values come first, and texts only of members that have a pair left.
 4. Whatever is left is verified by its exact sets of shingles. A block gives each class's number of linked documents, and
    edges that connect what is linked, fewer than it has members. Edges are joined to components; each document gets its
    component and the links of its text. So the result has a row a document, however large its group.
@@ -160,20 +159,15 @@ def _tiles(p: JaccardJoin):
     return run
 
 
-def _meet(p: JaccardJoin, k: int, sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others, similarity) of the pairs in a bucket that no earlier band has, pruned, then verified."""
+def _alike(p: JaccardJoin, k: int, sig: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) of the pairs in a bucket that no earlier band has and that their values don't rule out."""
     gates = least_equal(p)
     at = [n // p.step - 1 for n, _ in gates]
     least = np.array([m for _, m in gates])
-    size = np.array([len(x) for x in sets])
-    off = np.concatenate([[0], np.cumsum(size)])
-    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
-    flag = np.zeros(len(vocabulary), bool)
-    for i in range(len(sets) - 1):
-        j = np.arange(i + 1, len(sets))
+    for i in range(len(sig) - 1):
+        j = np.arange(i + 1, len(sig))
         if side[i] != 2:
             j = j[side[j] != side[i]]
-        j = j[np.minimum(size[i], size[j]) >= p.threshold * np.maximum(size[i], size[j]) - 1e-9]
         if not len(j):
             continue
         same = sig[j] == sig[i]
@@ -184,8 +178,17 @@ def _meet(p: JaccardJoin, k: int, sig: np.ndarray, side: np.ndarray, sets: list[
             continue
         equal = np.add.reduceat(same, np.arange(0, p.size, p.step), axis=1, dtype=np.int32).cumsum(1)
         j = j[(equal[:, at] >= least).all(1)]
-        if not len(j):
-            continue
+        if len(j):
+            yield i, j
+
+
+def _meet(p: JaccardJoin, k: int, sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, similarity) of the pairs that are left, verified."""
+    size = np.array([len(x) for x in sets])
+    off = np.concatenate([[0], np.cumsum(size)])
+    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+    flag = np.zeros(len(vocabulary), bool)
+    for i, j in _alike(p, k, sig, side):
         flag[code[off[i] : off[i + 1]]] = True
         both = T.sums(flag[code].astype(np.int32), off)[j] if len(j) > 8 else np.array([flag[code[off[x] : off[x + 1]]].sum() for x in j])
         flag[code[off[i] : off[i + 1]]] = False
@@ -195,6 +198,20 @@ def _meet(p: JaccardJoin, k: int, sig: np.ndarray, side: np.ndarray, sets: list[
             yield i, j[good], s[good]
 
 
+def _candidates(p: JaccardJoin):
+    """The members of blocks that have a pair to verify there, by their values alone: only their texts need to come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ("band", "k", "tile")):
+            keep = np.zeros(len(g), bool)
+            for i, j in _alike(p, int(g["k"][0].as_py()), _matrix(g["sig"].combine_chunks(), p.size), g["side"].to_numpy()):
+                keep[i] = keep[j] = True
+            if keep.any():
+                yield from g.drop_columns(["sig"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches, whole."""
     held: list[pa.Table] = []
@@ -284,6 +301,10 @@ def _classes(docs: DataFrame, p: JaccardJoin, at: Scratch) -> tuple[DataFrame, D
     return classes, members
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid")
+
+
 def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch) -> DataFrame:
     """cid, links, a, b: links that a block adds to a class, and an edge from its id; several rows a class."""
     bands = classes.select("cid", "n", "sig").mapInArrow(tidy(_bands(p)), "k int, band long, cid long, n long")
@@ -292,14 +313,14 @@ def _met(docs: DataFrame, classes: DataFrame, p: JaccardJoin, at: Scratch) -> Da
     # of buckets with the same members only the first is needed: it has all their pairs
     merged = at.save(buckets.groupBy("many", "shingles", "x1", "x2").agg(F.min(F.struct("k", "band")).alias("of")).select("of.k", "of.band", "shingles"), "buckets")
     tiles = bands.drop("n").join(merged, ["k", "band"]).mapInArrow(tidy(_tiles(p)), "k int, band long, tile long, side long, cid long")
-    tiles = at.save(tiles, "tiles")
+    blocks = at.save(tiles, "blocks").join(classes.select("cid", "sig"), "cid").select("k", "band", "tile", "side", "cid", "sig")
+    tiles = at.save(_in_blocks(blocks).mapInArrow(tidy(_candidates(p)), "k int, band long, tile long, side long, cid long"), "tiles")
     member = classes.join(tiles.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "copies", "sig")
     needed = at.save(member.select("id").distinct(), "needed")
     whole = docs.join(marked_small(needed), "id", "left_semi").mapInArrow(tidy(_keyed(p)), "cid long, text string").dropDuplicates(["cid"])
     full = tiles.join(member.join(whole, "cid"), "cid")
-    met = full.repartition("band", "k", "tile").sortWithinPartitions("band", "k", "tile", "cid").mapInArrow(tidy(_linked(p)), "cid long, links long, a long, b long")
-    met = at.save(met, "met")
-    at.drop("buckets", "tiles", "needed")
+    met = at.save(_in_blocks(full).mapInArrow(tidy(_linked(p)), "cid long, links long, a long, b long"), "met")
+    at.drop("buckets", "blocks", "tiles", "needed")
     return met
 
 
