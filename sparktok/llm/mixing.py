@@ -14,7 +14,10 @@ Nulls and odd cases: a null or empty text has no tokens, so no constraint reache
 source of its own. Targets of sources that are absent are left out and the others scaled up to sum to 1; a source without
 target keeps nothing: its rate is 0. Sources with a target but no tokens can't get any, and are left out as if absent. Rows
 that repeat an id have the same rate if they have the same tokens and source, and then the same copies. An empty table
-gives no rows.
+gives no rows. Columns added to a table that has such names get underscores behind theirs until they are its only ones.
+
+The driver solves for one multiplier a constrained value, with a Hessian of their number squared: more than ``most`` values
+are refused. Values find their multipliers by a join with a broadcast table of so many rows.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from .common import Scratch, bound_batches, give_back
 
 @dataclass(frozen=True)
 class Mixing:
-    """total: tokens wanted in all, as a multiple of what there is. tolerance: of each constraint, relative to all tokens."""
+    """total: tokens wanted in all, as a multiple of what there is. tolerance: of each constraint, relative to all tokens. most: constrained values in all."""
 
     total: float = 1.0
     iterations: int = 60
     tolerance: float = 1e-9
+    most: int = 4096
 
 
 NONE = "\0none"
@@ -68,7 +72,10 @@ def solve(groups: DataFrame, keys: list[str], targets: list[dict[str, float]], p
     Each iteration is one distributed pass that gives the driver, for each pair of values, the sums of the gradient and
     the Hessian: their size is that of the constraints, not of the data.
     """
-    have = [{r[0]: (r[1], r[2]) for r in groups.groupBy(k).agg(F.sum(F.col("t") * F.col("n")), F.sum("n")).collect()} for k in keys]
+    by = [groups.groupBy(k).agg(F.sum(F.col("t") * F.col("n")), F.sum("n")).limit(p.most + 1).collect() for k in keys]
+    if sum(map(len, by)) > p.most:
+        raise ValueError(f"more than {p.most} values have constraints")
+    have = [{r[0]: (r[1], r[2]) for r in own} for own in by]
     total = sum(x for x, _ in have[0].values())
     if not total:
         return [{} for _ in keys], 1.0, 0
@@ -84,11 +91,10 @@ def solve(groups: DataFrame, keys: list[str], targets: list[dict[str, float]], p
             want.append(own[v] / mass * total * p.total / scale)
     goal = np.array(want)
     multiplier = np.zeros(len(goal))
-    live = [F.col(k).isin(list(ix)) for k, ix in zip(keys, index, strict=True)]
     rows = groups.where("t > 0")
-    for c in live:
-        rows = rows.where(c)
-    place = [F.element_at(F.create_map(*(F.lit(x) for v, i in ix.items() for x in (v, i))), F.col(k)) for k, ix in zip(keys, index, strict=True)]
+    for k, ix in zip(keys, index, strict=True):
+        # rows of values without a target go
+        rows = rows.join(F.broadcast(groups.sparkSession.createDataFrame([*ix.items()], f"{k} string, i_{k} int")), k)
     t = F.col("t") / scale
 
     def sums(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -96,7 +102,7 @@ def solve(groups: DataFrame, keys: list[str], targets: list[dict[str, float]], p
         table = F.array(*(F.lit(float(x)) for x in m))
         tilt = sum((F.element_at(table, F.col(f"i{k}") + 1) for k in range(len(keys))), F.lit(0.0)) * t
         w = F.col("n") * F.exp(F.least(tilt, F.lit(700.0)))
-        placed = rows.select("n", "t", *(x.cast("int").alias(f"i{k}") for k, x in enumerate(place)))
+        placed = rows.select("n", "t", *(F.col(f"i_{k}").alias(f"i{j}") for j, k in enumerate(keys)))
         got = placed.groupBy(*(f"i{k}" for k in range(len(keys)))).agg(F.sum(w).alias("w"), F.sum(w * t).alias("g"), F.sum(w * t * t).alias("h")).collect()
         value, grad, hess = -float(goal @ m), -goal.copy(), np.zeros((len(m), len(m)))
         for r in got:
@@ -125,38 +131,50 @@ def solve(groups: DataFrame, keys: list[str], targets: list[dict[str, float]], p
     return [{v: float(multiplier[i]) for v, i in ix.items()} for ix in index], scale, done
 
 
-def rates(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """df with __tokens, __rate and __copies. targets: for each constraint column, the shares of its values; by default every source has the same."""
-    at = Scratch(df.sparkSession, "mixing")
-    bound_batches(df.sparkSession)
+def free(name: str, taken: list[str]) -> str:
+    """A name that no column has, whatever its case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def rates(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, str, str, str]:
+    """df with each row's tokens, rate and copies, and these columns' names. targets: for each constraint column, the shares of its values; by default every source has the same."""
+    spark = df.sparkSession
+    at = Scratch(spark, "mixing")
+    bound_batches(spark)
     keys = list(targets) if targets else [source_col]
-    counted = df.withColumn("__tokens", tokens(F.col(text_col)))
-    groups = at.save(counted.groupBy(*(_value(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("__tokens").alias("t")).agg(F.count("*").alias("n")), "groups")
+    n_tokens, rate, many = (free(c, df.columns) for c in ("__tokens", "__rate", "__copies"))
+    counted = df.withColumn(n_tokens, tokens(F.col(text_col)))
+    groups = at.save(counted.groupBy(*(_value(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(n_tokens).alias("t")).agg(F.count("*").alias("n")), "groups")
     if targets:
         shares = [{NONE if v is None else str(v): w for v, w in targets[k].items()} for k in keys]
     else:
-        shares = [{r[0]: 1.0 for r in groups.where("t > 0").select("k0").distinct().collect()}]
+        shares = [{r[0]: 1.0 for r in groups.where("t > 0").select("k0").distinct().limit(p.most + 1).collect()}]
     found, scale, _ = solve(groups, [f"k{i}" for i in range(len(keys))], shares, p)
-    tilt, known = F.lit(0.0), F.lit(True)
-    for k, by in zip(keys, found, strict=True):
-        if by:
-            at_value = F.element_at(F.create_map(*(F.lit(x) for pair in by.items() for x in pair)), _value(k))
-            tilt, known = tilt + F.coalesce(at_value, F.lit(0.0)), known & at_value.isNotNull()
-        else:
-            known = F.lit(False)
-    rate = F.when(F.col("__tokens") == 0, 1.0).when(known, F.exp(tilt * F.col("__tokens") / scale)).otherwise(0.0)
+    at.drop("groups")
+    out, tilt, known, more = counted, F.lit(0.0), F.lit(True), []
+    for i, (k, by) in enumerate(zip(keys, found, strict=True)):
+        value, multiplier = (free(f"__{x}{i}", df.columns) for x in ("value", "multiplier"))
+        table = spark.createDataFrame([*by.items()], f"`{value}` string, `{multiplier}` double")
+        out = out.join(F.broadcast(table), _value(k) == F.col(value), "left")
+        tilt, known = tilt + F.coalesce(F.col(multiplier), F.lit(0.0)), known & F.col(multiplier).isNotNull()
+        more += [value, multiplier]
+    out = out.withColumn(rate, F.when(F.col(n_tokens) == 0, 1.0).when(known, F.exp(tilt * F.col(n_tokens) / scale)).otherwise(0.0)).drop(*more)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col), F.lit("copies")), F.lit(1 << 52)) / float(1 << 52)
-    out = counted.withColumn("__rate", rate)
-    return out.withColumn("__copies", (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long"))
+    return out.withColumn(many, (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")).cast("long")), n_tokens, rate, many
 
 
 def copies(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, n_tokens, rate, copies of every document."""
-    out = rates(df, targets, p, id_col, text_col, source_col)
-    return out.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    out, n_tokens, rate, many = rates(df, targets, p, id_col, text_col, source_col)
+    return out.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(n_tokens).alias("n_tokens"), F.col(rate).alias("rate"), F.col(many).alias("copies"))
 
 
 def repeat(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, p: Mixing = Mixing(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of df as often as its copies say, with the columns rate and copy (from 1)."""
-    out = rates(df, targets, p, id_col, text_col, source_col).where("__copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).withColumnRenamed("__rate", "rate").drop("__tokens", "__copies")
+    out, _, rate, many = rates(df, targets, p, id_col, text_col, source_col)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    numbered = F.explode(F.sequence(F.lit(1).cast("long"), F.col(many)))
+    return out.where(F.col(many) > 0).select(*own, F.col(rate).alias(free("rate", df.columns)), numbered.alias(free("copy", df.columns)))

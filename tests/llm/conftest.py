@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside.
-CLASHES = ["id", "k1", "cid", "band", "tile", "jaccard", "root", "node", "score", "held", "g", "n", "row", "c0", "shard", "query", "similarity", "tok_text", "t", "ids"]
+CLASHES = ["id", "k1", "cid", "band", "tile", "jaccard", "root", "node", "score", "held", "g", "n", "row", "c0", "shard", "query", "similarity", "tok_text", "t", "ids", "rate", "copy", "__tokens", "links", "part", "__value0"]
 LONG = "word " * 60_000 + "x" * 30_000
 
 

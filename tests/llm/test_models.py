@@ -374,13 +374,21 @@ def test_copies_meet_the_targets_on_average(spark):
     assert mixing.repeat(df).count() == got.agg(F.sum("copies")).first()[0]
 
 
+def test_too_many_constraints_are_refused(spark):
+    df = spark.createDataFrame([(k, "one two", f"s{k}") for k in range(30)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="more than 20"):
+        mixing.copies(df, p=mixing.Mixing(most=20)).count()
+    got = mixing.copies(df, p=mixing.Mixing(most=30)).collect()
+    assert len(got) == 30 and all(abs(r.rate - 1) < 1e-9 for r in got)
+
+
 def test_mixing_odd_tables(spark, messy, plain, empty):
     key = lambda df: sorted(str((r.doc_id, r.source, r.n_tokens, round(r.rate, 6), r.copies)) for r in df.collect())
     assert key(mixing.copies(messy)) == key(mixing.copies(plain)) and mixing.copies(messy).count() == len(messy_rows())
     rows = {r.doc_id: r for r in mixing.copies(messy).where("doc_id in (4, 5, 6)").collect()}
     assert rows[5].rate == rows[6].rate == 1.0 and rows[4].source is None and rows[4].rate > 1
     out = mixing.repeat(messy)
-    assert out.columns == [*messy.columns, "rate", "copy"]
+    assert out.columns == [*messy.columns, "rate_", "copy_"] and mixing.repeat(plain).columns == [*plain.columns, "rate", "copy"]
     assert mixing.copies(empty).count() == 0 and mixing.repeat(empty).count() == 0
     some = {r.source: r.rate for r in mixing.copies(plain.where("doc_id in (1, 2, 13)"), {"source": {"a": 1.0, "zz": 3.0}}).collect()}
     assert some["b"] == some["c"] == 0.0 and some["a"] > 1
