@@ -7,13 +7,13 @@ dictionary-encoded, its dictionary looked up in a cache that a worker keeps, and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -276,39 +276,87 @@ def _applied(f: Callable[[pa.Array, pa.Array | None], pa.Array], kind: str, plai
     return two(plain, held)
 
 
+def token_totals(df: DataFrame, text: Column, vocab: Vocab, raw: bool = False) -> DataFrame:
+    """id, n: how often each token is in the encodings of a table's texts; a batch gives each of its ids once, and no id lists leave Python."""
+    shared, key = _share(df.sparkSession, vocab)
+    merger = Merger(shared, key)
+    plain, held = _parts(text, vocab, raw)
+    both = held is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.size, np.int64)
+        for b in batches:
+            ids, _, _ = _encoded(shared.value, merger, b.column(0), b.column(1) if both else None)
+            total += np.bincount(ids, minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["id", "n"])
+
+    parts = df.select(plain.alias("plain"), *([] if held is None else [held.alias("held")]))
+    return parts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
 def truncate(ids: Column | str, cap: int) -> Column:
     """The first cap ids; size() of the column still is the true count."""
     return F.slice(_col(ids), 1, cap)
 
 
+def _flat_tokens(vocab: Vocab, skip_special: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all tokens, their offsets, which ids are used); special ones without bytes where they are skipped. Made once a vocabulary."""
+    made = vocab.__dict__.setdefault("_flat_tokens", {})
+    if skip_special not in made:
+        shown = [b"" if skip_special and i in vocab.specials else t for i, t in enumerate(vocab.tokens)]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in shown])]).astype(np.int64)
+        made[skip_special] = np.frombuffer(b"".join(shown), np.uint8), off, np.array([bool(t) for t in vocab.tokens], bool)
+    return made[skip_special]
+
+
+def decode_lists(vocab: Vocab, lists: pa.Array, skip_special: bool, errors: str) -> pa.Array:
+    """The bytes of lists of ids, gathered from those of all tokens."""
+    flat, rows, null = _nested(lists)
+    data, at, used = _flat_tokens(vocab, skip_special)
+    ids = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    bad = (ids < 0) | (ids >= vocab.size)
+    if bad.any():
+        ids = np.where(bad, 0, ids)
+    bad |= ~used[ids]
+    if bad.any():
+        if errors != "null":
+            wrong = int(pc.fill_null(flat, -1)[int(np.flatnonzero(bad)[0])].as_py())
+            raise RangeError(f"token id {wrong} is not below {vocab.size}, or isn't used")
+        null = null | (np.bincount(np.repeat(np.arange(len(lists)), np.diff(rows))[bad], minlength=len(lists)) > 0)
+    size = at[ids + 1] - at[ids]
+    off = np.concatenate([[0], np.cumsum(size)])
+    out = data[np.repeat(at[ids] - off[:-1], size) + np.arange(off[-1])] if len(ids) else np.zeros(0, np.uint8)
+    # a batch of less than 2 GB of bytes has 32-bit offsets, as Spark's binaries have
+    ends = pa.array(off[rows], pa.int32()).buffers()[1]
+    valid = pa.array(~null).buffers()[1] if null.any() else None
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, ends, pa.py_buffer(out.tobytes())])
+
+
 def decode(ids: Column | str, vocab: Vocab, skip_special: bool = False, errors: str = "raise", spark: SparkSession | None = None) -> Column:
     """binary: the bytes of ids. An id that is out of range or unused is an error, or with errors="null" makes the row null."""
     shared, _ = _share(spark or SparkSession.active(), vocab)
 
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
-        v, out = shared.value, []
-        for x in lists.to_pylist():
-            try:
-                out.append(None if x is None else v.decode([-1 if i is None else i for i in x], skip_special))
-            except RangeError:
-                if errors != "null":
-                    raise
-                out.append(None)
-        return pa.array(out, pa.binary())
+        return decode_lists(shared.value, lists, skip_special, errors)
 
     return run(_col(ids).cast("array<bigint>"))
 
 
 def decode_text(ids: Column | str, vocab: Vocab, skip_special: bool = False, errors: str = "raise", spark: SparkSession | None = None) -> Column:
     """string: decode() as text, malformed bytes replaced."""
-    raw = decode(ids, vocab, skip_special, errors, spark)
+    shared, _ = _share(spark or SparkSession.active(), vocab)
 
     @F.arrow_udf("string")
-    def run(data: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in data.to_pylist()], pa.string())
+    def run(lists: pa.Array) -> pa.Array:
+        raw = decode_lists(shared.value, lists, skip_special, errors)
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([None if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
-    return run(raw)
+    return run(_col(ids).cast("array<bigint>"))
 
 
 def parse_ids(text: Column | str) -> Column:

@@ -101,5 +101,4 @@ def decode_join(df: DataFrame, vocab: Vocab, key: str, ids_col: str = "ids", ski
 
 def token_frequencies(df: DataFrame, vocab: Vocab, text_col: str = "text", raw: bool = False) -> DataFrame:
     """id, n: how often each token is in the encodings of all texts."""
-    coded = df.select(C.encode(F.col(text_col), vocab, raw, df.sparkSession).alias("ids"))
-    return coded.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return C.token_totals(df, F.col(text_col), vocab, raw)

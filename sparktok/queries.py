@@ -81,6 +81,21 @@ def _tokens_sql(vocab: Vocab) -> str:
     return _values([(s, i, vocab.tokens[i].hex()) for i, s in _names(vocab).items()], "v(sym, id, hex)")
 
 
+def _bpe_sql(vocab: Vocab) -> str:
+    """done(p, s): the symbols of each pretoken in w(p), by merging, in rounds, all pairs of the lowest rank that each one has. It must stand in WITH RECURSIVE."""
+    name = _names(vocab)
+    ranks = _values([(name[a] + name[b], rank) for rank, (a, b, _) in enumerate(vocab.merges)], "v(pair, r)")
+    return rf"""merges AS MATERIALIZED (SELECT * FROM {ranks}),
+bpe AS (
+  SELECT p, regexp_replace(hex(encode(p)), '(..)', '<\1>', 'g') AS s, 0 AS k FROM w
+  UNION ALL
+  SELECT p, replace(s, best.pair, '<m' || best.r || '>'), k + 1 FROM (
+    SELECT p, s, k, min(struct_pack(r := m.r, pair := m.pair)) AS best FROM (
+      SELECT p, s, k, unnest(list_transform(range(1, len(x)), lambda i: x[i] || x[i + 1])) AS pair FROM (SELECT p, s, k, regexp_extract_all(s, '<[^>]*>') AS x FROM bpe)) q
+    JOIN merges m ON m.pair = q.pair GROUP BY p, s, k)),
+done AS (SELECT p, arg_max(s, k) AS s FROM bpe GROUP BY p)"""
+
+
 def _counts_sql(source: str, key: str) -> str:
     """p(key, pretoken), and n(key, n_tokens)."""
     return f"""p AS (SELECT {key} AS k, unnest({sql_split("text")}) AS p FROM {source}),
@@ -157,24 +172,39 @@ def byte_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.token_count("text", bare, spark=spark).alias("n_tokens"))
 
 
+#: From p(doc_id, i, s), the symbols of each document's pretokens.
+_DIGESTS = """t AS (SELECT doc_id, i, unnest(range(1, len(y) + 1)) AS j, y FROM (SELECT doc_id, i, regexp_extract_all(s, '<[^>]*>') AS y FROM p)),
+d AS (SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY i, j) AS ids, count(*) AS n_tokens FROM t JOIN {tokens} ON v.sym = y[j] GROUP BY doc_id)
+SELECT documents.doc_id, md5(coalesce(ids, '')) AS digest, coalesce(n_tokens, 0)::BIGINT AS n_tokens FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id"""
+
+
 def _ids_sql() -> str:
     return f"""WITH p AS (SELECT doc_id, i, {sql_symbols("x[i]", small())} AS s FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, {sql_split("text")} AS x FROM documents))),
-t AS (SELECT doc_id, i, unnest(range(1, len(y) + 1)) AS j, y FROM (SELECT doc_id, i, regexp_extract_all(s, '<[^>]*>') AS y FROM p)),
-d AS (SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY i, j) AS ids, count(*) AS n_tokens FROM t JOIN {_tokens_sql(small())} ON v.sym = y[j] GROUP BY doc_id)
-SELECT doc_id, md5(ids) AS digest, n_tokens FROM d"""
+{_DIGESTS.format(tokens=_tokens_sql(small()))}"""
+
+
+def _digests(coded: DataFrame) -> DataFrame:
+    return coded.select("doc_id", F.md5(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "utf-8")).alias("digest"), "n_tokens")
 
 
 @query(_ids_sql)
 def encode_ids_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents"), small())
-    return coded.where("n_tokens > 0").select("doc_id", F.md5(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "utf-8")).alias("digest"), "n_tokens")
+    return _digests(encode(table(spark, sf_dir, "documents"), small()))
 
 
 @query(_ids_sql)
 def encode_ids_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by merging each distinct pretoken once and joining it back."""
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), small(), strategy="dedup", key="doc_id")
-    return coded.where("n_tokens > 0").select("doc_id", F.md5(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "utf-8")).alias("digest"), "n_tokens")
+    return _digests(coded)
+
+
+@query(lambda: f"""WITH RECURSIVE x AS (SELECT doc_id, {sql_split("text")} AS x FROM documents), q AS (SELECT doc_id, i, x[i] AS p FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM x)),
+w AS (SELECT DISTINCT p FROM q), {_bpe_sql(full())},
+p AS (SELECT doc_id, i, s FROM q JOIN done ON done.p = q.p), {_DIGESTS.format(tokens=_tokens_sql(full()))}""")
+def encode_ids_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by the whole public vocabulary."""
+    return _digests(encode(table(spark, sf_dir, "documents"), full()))
 
 
 @query(lambda: f"""WITH {_counts_sql("documents", "doc_id")}
@@ -272,10 +302,10 @@ def decode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(lambda: f"""WITH {_counts_sql("documents", "doc_id")}
-SELECT doc_id, n_tokens, least(n_tokens, {BUDGET})::BIGINT AS kept FROM documents JOIN n ON k = doc_id""")
+SELECT doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, least(coalesce(n_tokens, 0), {BUDGET})::BIGINT AS kept FROM documents LEFT JOIN n ON k = doc_id""")
 def truncate_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), small())
-    return coded.where("n_tokens > 0").select("doc_id", "n_tokens", F.size(C.truncate("ids", BUDGET)).cast("long").alias("kept"))
+    return coded.select("doc_id", "n_tokens", F.size(C.truncate("ids", BUDGET)).cast("long").alias("kept"))
 
 
 @query(lambda: f"""WITH {_counts_sql("documents", "doc_id")}
@@ -394,7 +424,9 @@ def count_tokens(text: Column | str, spark: SparkSession) -> Column:
     return C.token_count(text, full(), spark=spark)
 
 
-@query()
+@query(lambda: f"""WITH RECURSIVE q AS (SELECT lang, p, count(*) AS n FROM (SELECT lang, unnest({sql_split("text")}) AS p FROM documents) GROUP BY lang, p), w AS (SELECT DISTINCT p FROM q), {_bpe_sql(full())},
+c AS (SELECT lang, sum(n * (len(s) - len(replace(s, '<', ''))))::BIGINT AS n_tokens FROM q JOIN done ON done.p = q.p GROUP BY lang)
+SELECT d.lang, d.docs, c.n_tokens FROM (SELECT lang, count(*) AS docs FROM documents GROUP BY lang) d LEFT JOIN c ON c.lang = d.lang""")
 def encode_full_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per language with the whole public vocabulary."""
     counted = table(spark, sf_dir, "documents").select("lang", count_tokens("text", spark).alias("n"))
