@@ -186,10 +186,44 @@ def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return out, off
 
 
+#: Words whose log probabilities a worker keeps, 8 bytes each and 8 a language; scored anew otherwise.
+KEPT = 1 << 18
+
+
 class Model:
     def __init__(self, p: LangId, languages: list[str], probability: np.ndarray):
         self.p, self.languages, self.probability = p, languages, probability
         self.logs = np.log(probability)
+        self.known = np.zeros(0, np.uint64), np.zeros((0, len(languages)))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": (np.zeros(0, np.uint64), np.zeros((0, len(self.languages))))}
+
+    def words(self, w: T.Words, first: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """The log probabilities of some different words by language. Those that occur more often than once are kept until there are too many, so a worker scores frequent words once."""
+        keys, (have, kept) = w.hash[first], self.known
+        out = np.empty((len(first), len(self.languages)))
+        at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+        old = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+        out[old] = kept[at[old]]
+        new = np.flatnonzero(~old)
+        v, long = pieces(self.p.vocabulary), w.end[first[new]] - w.start[first[new]] > LONG
+        short = new[~long]
+        for i in range(0, len(short), 8_000):
+            part = first[short[i : i + 8_000]]
+            b, o = spaced(w.data, w.start[part], w.end[part])
+            out[short[i : i + 8_000]] = np.log(forward(v.edges(b, o), o, self.probability)[1])
+        for i in new[long]:
+            b, _ = spaced(w.data, w.start[first[i : i + 1]], w.end[first[i : i + 1]])
+            out[i] = whole_log(v, b, self.logs)
+        new = new[often[new] > 1]
+        if len(have) + len(new) > KEPT:
+            have, kept = have[:0], kept[:0]
+        new = new[:KEPT]
+        have, kept = np.concatenate([have, keys[new]]), np.concatenate([kept, out[new]])
+        order = np.argsort(have)
+        self.known = have[order], kept[order]
+        return out
 
     def score(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's log probability by language, its words and their bytes, blanks counted."""
@@ -203,18 +237,10 @@ class Model:
             if not langs or not len(w.hash):
                 continue
             code, _ = pd.factorize(w.hash)
-            first = np.full(code.max() + 1, -1)
+            often = np.bincount(code)
+            first = np.full(len(often), -1)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            logs = np.empty((len(first), langs))
-            v, long = pieces(self.p.vocabulary), w.end[first] - w.start[first] > LONG
-            short = np.flatnonzero(~long)
-            for i in range(0, len(short), 8_000):
-                at = first[short[i : i + 8_000]]
-                b, o = spaced(w.data, w.start[at], w.end[at])
-                logs[short[i : i + 8_000]] = np.log(forward(v.edges(b, o), o, self.probability)[1])
-            for i in np.flatnonzero(long):
-                b, _ = spaced(w.data, w.start[first[i : i + 1]], w.end[first[i : i + 1]])
-                logs[i] = whole_log(v, b, self.logs)
+            logs = self.words(w, first, often)
             for k in range(langs):
                 out[r0:r1, k] = T.sums(logs[code, k], w.off)
         return out, count, size

@@ -6,13 +6,18 @@ the bytes and the first merges of a public vocabulary, or the toy one.
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import FormatError, InputError
 from .functions import columns as C
+from .functions.bytes_path import encode_bytes_column
+from .functions.unicode_pins import BARRIERS
 from .operators import census as cen
 from .operators import fingerprint as fp
 from .operators.vocab import Vocab, from_tokenizer_json, public_json, toy_json
@@ -318,7 +323,11 @@ def over_budget_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources, vocabularies, analytics
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, i, x[i] || CASE WHEN i < len(x) THEN chr(10) ELSE '' END AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+c AS (SELECT doc_id, i, line, ends_with(line, chr(10)) AS whole, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY i) AS cum, sum(strlen(line)) OVER (PARTITION BY doc_id) AS total FROM l WHERE line <> ''),
+r AS (SELECT doc_id, -1 AS doc, 0::BIGINT AS s, 0::BIGINT AS e, max(total)::BIGINT AS total FROM c GROUP BY doc_id
+  UNION ALL SELECT r.doc_id, r.doc + 1, r.e, coalesce(min(c.cum) FILTER (c.whole AND c.cum > r.e + 8192), r.total)::BIGINT, r.total FROM r JOIN c ON c.doc_id = r.doc_id WHERE r.e < r.total GROUP BY r.doc_id, r.doc, r.e, r.total)
+SELECT r.doc_id, r.doc::INT AS doc, (r.e - r.s)::INT AS n_bytes, md5(string_agg(c.line, '' ORDER BY c.i)) AS digest FROM r JOIN c ON c.doc_id = r.doc_id AND c.cum > r.s AND c.cum <= r.e WHERE r.doc >= 0 GROUP BY r.doc_id, r.doc, r.s, r.e""")
 def doc_split_8192(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that long texts are cut into: doc, bytes, digest, by source text."""
     cut = split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -350,6 +359,14 @@ def broken_images() -> list[tuple[str, bytes]]:
         out[place : place + size] = value.to_bytes(size, "little")
         return bytes(out)
 
+    def full_table() -> bytes:
+        out = bytearray(good)
+        for k in range(head[13] // 16):
+            out[head[12] + 16 * k : head[12] + 16 * k + 16] = (k << 32 | 1).to_bytes(8, "little") + (1).to_bytes(8, "little")
+        return bytes(out)
+
+    added = good[at["added"] : at["added"] + 32]
+    swapped = good[: at["added"]] + added[16:] + added[:16] + good[at["added"] + 32 :]
     slot = next(k for k in range(0, head[12 + 1], 16) if good[at["pair_table"] + k : at["pair_table"] + k + 8] != b"\xff" * 8) + at["pair_table"]
     return [
         ("sound", good),
@@ -371,24 +388,111 @@ def broken_images() -> list[tuple[str, bytes]]:
         ("added_span", patch(at["added"] + 8, 3)),
         ("pair_key", patch(slot, 1 << 20)),
         ("pair_value", patch(slot + 8, 1 << 20)),
+        ("empty", b""),
+        ("head_only", good[:100]),
+        ("cut_short", good[:-300]),
+        ("profile_zero", patch(12, 0)),
+        ("section_huge", patch(40, (1 << 64) - 64, 8)),
+        ("section_far", patch(32, 1 << 63, 8)),
+        ("unaligned_meta", patch(32 + 16 * 5, at["meta"] + 4, 8)),
+        ("added_moved", patch(at["added"] + 4, 0)),
+        ("added_order", swapped),
+        ("meta", patch(at["meta"], 1 << 20)),
+        ("meta_gone", patch(40 + 16 * 5, 0, 8)),
+        ("pair_full", full_table()),
+        ("no_slots", patch(24, 0)),
     ]
 
 
+def rules_of(image: bytes) -> list[str]:
+    """The rules that an image breaks."""
+    try:
+        return sorted({r for r, _ in bpv.violations(image)})
+    except InputError:
+        return ["too_short"]
+
+
+def changed_json(how: dict[str, object]) -> bytes:
+    """The toy's tokenizer file with some values changed, by their paths."""
+    source = json.loads(toy_json())
+    for path, value in how.items():
+        place, keys = source, path.split("__")
+        for k in keys[:-1]:
+            place = place[int(k) if k.isdigit() else k]
+        place[keys[-1]] = value
+    return json.dumps(source).encode()
+
+
+#: Changes to a tokenizer file, and whether it still is one of the supported kind.
+FILES: list[tuple[str, dict[str, object], bool]] = [
+    ("as it is", {}, True), ("no normalizer", {"normalizer": None}, True), ("another decoder", {"decoder": {"type": "Metaspace"}}, True), ("merges as strings", {"model__merges": ["a b", "b c"]}, True),
+    ("compatibility forms", {"normalizer": {"type": "NFKC"}}, False), ("an option of the normalizer", {"normalizer": {"type": "NFC", "x": 1}}, False), ("no splitting", {"pre_tokenizer": None}, False),
+    ("removed separators", {"pre_tokenizer__pretokenizers__0__behavior": "Removed"}, False), ("inverted", {"pre_tokenizer__pretokenizers__0__invert": True}, False), ("another pattern", {"pre_tokenizer__pretokenizers__0__pattern": {"Regex": "x"}}, False),
+    ("a blank before", {"pre_tokenizer__pretokenizers__1__add_prefix_space": True}, False), ("its own pattern", {"pre_tokenizer__pretokenizers__1__use_regex": True}, False), ("dropout", {"model__dropout": 0.1}, False), ("unknown token", {"model__unk_token": "x"}, False),
+    ("prefix of pieces", {"model__continuing_subword_prefix": "##"}, False), ("fused unknowns", {"model__fuse_unk": True}, False), ("byte fallback", {"model__byte_fallback": True}, False), ("merges ignored", {"model__ignore_merges": True}, False),
+    ("a number for false", {"model__ignore_merges": 0}, False), ("another model", {"model__type": "Unigram"}, False), ("added token that takes blanks", {"added_tokens__0__lstrip": True}, False), ("empty added token", {"added_tokens__0__content": ""}, False),
+    ("id as text", {"added_tokens__0__id": "1"}, False), ("id of another added token", {"added_tokens__0__id": 263}, False), ("id of a token", {"added_tokens__0__id": 3}, False), ("added token twice", {"added_tokens__0__content": "[PAD]"}, False),
+    ("merge twice", {"model__merges": [["a", "b"], ["a", "b"]]}, False), ("merge of three", {"model__merges": ["a b c"]}, False), ("side that is no token", {"model__merges": [["a", "q"]]}, False), ("bytes without tokens", {"model__vocab": {"a": 0}}, False),
+    ("characters that stand for no byte", {"model__vocab": {"漢": 0}}, False), ("id twice", {"model__vocab__zz": 5}, False),
+]
+
+
 _BROKEN = [
     ("magic", "magic"), ("version", "version"), ("profile", "profile"), ("no_tokens", "section_size"), ("no_tokens", "vocab_count"), ("many_tokens", "section_size"), ("many_tokens", "vocab_count"),
     ("many_added", "added_count"), ("many_added", "section_size"), ("slots", "pair_slots_log2"), ("slots", "section_size"), ("unaligned", "section_alignment"), ("outside", "section_bounds"),
     ("overlap", "section_overlap"), ("offsets", "byte_token"), ("offsets", "offsets_bounds"), ("offsets", "offsets_order"), ("byte_range", "byte_range"), ("byte_token", "byte_token"), ("added_range", "added_range"), ("added_length", "added_length"), ("added_length", "added_span"),
     ("added_span", "added_span"), ("pair_key", "pair_range"), ("pair_value", "pair_range"),
+    ("empty", "too_short"), ("head_only", "too_short"), ("cut_short", "section_bounds"), ("profile_zero", "profile"), ("section_huge", "section_bounds"), ("section_huge", "section_overlap"), ("section_huge", "section_size"), ("section_far", "section_bounds"),
+    ("unaligned_meta", "section_alignment"), ("added_moved", "added_span"), ("added_order", "added_order"), ("meta", "meta"), ("meta_gone", "meta"), ("pair_full", "pair_load"), ("no_slots", "section_size"),
 ]
 
 
 @query(lambda: "SELECT * FROM " + _values(_BROKEN, "t(image, rule)"))
 def vocab_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = spark.createDataFrame([(n, bytearray(x)) for n, x in broken_images()], "image string, content binary")
-    rules = F.udf(lambda x: sorted({r for r, _ in bpv.violations(bytes(x))}), "array<string>")
+    # a few hundred bytes each: the size of the data isn't theirs
+    rules = F.udf(lambda x: rules_of(bytes(x)), "array<string>")
     return images.select("image", F.explode(rules("content")).alias("rule"))
 
 
+@query(lambda: "SELECT * FROM " + _values([(n, ok) for n, _, ok in FILES], "t(file, accepted)"))
+def converter_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokenizer files are taken: every rule of the converter broken once."""
+
+    def accepted(raw: bytes) -> bool:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                from_tokenizer_json(bytes(raw))
+        except FormatError:
+            return False
+        return True
+
+    files = spark.createDataFrame([(n, bytearray(changed_json(how))) for n, how, _ in FILES], "file string, content binary")
+    return files.select("file", F.udf(accepted, "boolean")("content").alias("accepted"))
+
+
+@query("SELECT doc_id, md5(unhex('FF') || encode(text) || unhex('C3')) AS digest, 2 + strlen(text)::BIGINT AS n_bytes FROM documents")
+def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no text, a stray one before each document and a broken character behind it, encoded and decoded."""
+    data = F.concat(F.unhex(F.lit("FF")), F.encode("text", "utf-8"), F.unhex(F.lit("C3")))
+    coded = table(spark, sf_dir, "documents").select("doc_id", encode_bytes_column(data, small(), spark=spark).alias("ids"))
+    back = C.decode("ids", small(), spark=spark)
+    return coded.select("doc_id", back.alias("b")).select("doc_id", F.md5("b").alias("digest"), F.length("b").cast("long").alias("n_bytes"))
+
+
+def _barriers() -> str:
+    return " AND ".join(["cp NOT BETWEEN 55296 AND 57343", "cp > 0", *(f"cp NOT BETWEEN {a} AND {b}" for a, b in BARRIERS)])
+
+
+@query(lambda: f"""WITH c AS (SELECT cp, chr(cp::INT) AS c FROM (SELECT unnest(range(0, 1114112)) AS cp) WHERE {_barriers()}),
+f AS (SELECT cp, 'alone' AS form, c AS t FROM c UNION ALL SELECT cp, 'after', 'a' || c FROM c UNION ALL SELECT cp, 'before', c || chr(769) FROM c UNION ALL SELECT cp, 'mark', 'a' || chr(803) || chr(820) || c FROM c)
+SELECT cp::INT AS cp, form, hex(encode(nfc_normalize(t))) AS hex FROM f WHERE nfc_normalize(t) <> t""")
+def nfc_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What NFC makes of every character but those of later versions: alone, after a letter, before and after marks."""
+    return fp.nfc_sweep(spark).where(_barriers())
+
+
 @query("SELECT * FROM (VALUES ('added', '-', 2::BIGINT), ('self', '-', 132), ('context', '-', 115), ('impossible', 'invalid-utf8', 13), ('impossible', 'pretoken-shape', 1), ('impossible', 'merge-order', 1)) AS t(verdict, reason, n)")
 def census_summary_toy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cen.summary(cen.census(spark, toy(), deep=True)).where("verdict is not null and reason is not null")

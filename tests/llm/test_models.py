@@ -108,6 +108,23 @@ def test_long_words_are_summed_whole(docs, vocabulary, monkeypatch):
     assert v.longest == longest
 
 
+def test_words_that_are_kept_score_the_same(docs, monkeypatch):
+    """Scores are the same whether a word was seen before, and when the store is full."""
+    import pickle
+
+    model = langid.train(docs)
+    col = pa.array([(r.text or "").lower() for r in docs.limit(60).collect()])
+    want = model.score(col)[0]
+    assert len(model.known[0]) > 100 and np.array_equal(model.score(col)[0], want)
+    monkeypatch.setattr(langid, "KEPT", 50)
+    again = pickle.loads(pickle.dumps(model))
+    assert not len(again.known[0])
+    for i in range(0, 60, 7):
+        # sums start at another text, so their last bits may differ
+        assert np.allclose(again.score(col.slice(i, 7))[0], want[i : i + 7], rtol=1e-12)
+    assert len(again.known[0]) <= 50
+
+
 def test_expected_counts_of_long_words_agree_with_those_of_short_ones():
     v = langid.pieces(langid.VOCABULARY)
     p = np.random.default_rng(0).uniform(1e-4, 1e-2, v.size)
