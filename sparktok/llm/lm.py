@@ -17,7 +17,8 @@ weights are learned by expectation-maximisation on the documents whose id hashes
 4. All documents are scored by exact estimates.
 
 Hashes have ``spare`` bits more than the number of n-grams needs, so one in 2^spare n-grams is confused with another.
-Blobs are chunks times parts: raise both sizes with the workers' memory where tables are far larger.
+An empty blob isn't sent, so there are never more blobs than n-grams. They shrink as the table grows, chunks times parts being
+many: raise both sizes with the workers' memory where tables are far larger.
 
 Nulls and odd cases: a null or empty text has no tokens, the log probability 0 and no bits per byte (null); it counts for
 nothing. A row without an id counts, and is reported without one; rows that repeat an id are documents of their own, each.
@@ -44,7 +45,7 @@ from .common import Scratch, texts, tidy
 
 @dataclass(frozen=True)
 class DeletedInterpolation:
-    """order: tokens in an n-gram, 6 at most. folds: one part in so many is learned from. iterations: of expectation-maximisation. buckets: of context counts, the last without end; 32 at most."""
+    """order: tokens in an n-gram, 6 at most. folds: one part in so many is learned from. iterations: of expectation-maximisation. buckets: of context counts, the last without end; 32 at most. tasks: that parts are answered in, at most; a task takes its parts one after the other."""
 
     order: int = 3
     folds: int = 10
@@ -53,6 +54,7 @@ class DeletedInterpolation:
     chunk: int = 6 << 20
     part: int = 16 << 20
     spare: int = 20
+    tasks: int = 20_000
 
 
 END = T.mix(np.array([0xE0D], np.uint64))[0]
@@ -188,28 +190,44 @@ def _count(p: DeletedInterpolation, bits: int, parts: int):
             for k in range(len(b)):
                 g = Grams(b.column("texts").slice(k, 1).flatten(), p, bits)
                 cut = [np.append(np.searchsorted(x, bounds), len(x)) for x in g.key]
+                # the first part's goes always: it has the number of texts, and a chunk without n-grams needs an answer too
+                some = np.union1d(np.flatnonzero(sum(np.diff(x) for x in cut)), [0]).astype(np.int64)
                 blobs = []
-                for q in range(parts):
+                for q in some.tolist():
                     blob = []
                     for j in range(p.order):
                         s, e = cut[j][q], cut[j][q + 1]
                         blob += [pack(np.diff(g.key[j][s:e], prepend=bounds[q])), pack(g.count[j][s:e])]
                     blobs.append(b"".join(blob))
-                docs = np.zeros(parts, np.int64)
+                docs = np.zeros(len(some), np.int64)
                 docs[0] = (g.tokens > 0).sum()
                 chunk = b.column("chunk")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, chunk)), pa.array(docs), pa.array(blobs, pa.binary())], ["part", "chunk", "docs", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(docs), pa.array(blobs, pa.binary())], ["part", "chunk", "docs", "blob"])
 
     return run
 
 
 def _answer(p: DeletedInterpolation):
-    """The totals of the n-grams of one part, a whole partition, for each chunk in its blob's order; and how many tokens there are, in all and different, padding counted."""
+    """The totals of the n-grams of each part, from sorted rows, for each chunk in its blob's order; and how many tokens there are, in all and different, padding counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
+            part = b.column("part").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                if held and part[s] != last:
+                    yield from one(held)
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = part[s]
+        if held:
+            yield from one(held)
+
+    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         raws = t["blob"].to_pylist()
         answers: list[list[bytes]] = [[] for _ in raws]
@@ -354,8 +372,10 @@ def lm_scores(df: DataFrame, p: DeletedInterpolation = DeletedInterpolation(), i
     tasks = min(tasks, 100_000)
     chunks = at.bucketed(docs.mapInArrow(tidy(_chunks(p)), "chunk long, ids array<long>, texts array<string>, held boolean"), "chunks", "chunk", tasks, "held")
     blobs = chunks.select("chunk", "texts").mapInArrow(tidy(_count(p, bits, parts)), "part long, chunk long, docs long, blob binary")
-    # a part is a task: by hash, some tasks would have several
-    answers = at.save(blobs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(tidy(_answer(p)), "chunk long, part long, docs long, kinds long, number long, answer binary"), "answers")
+    # by hash, some tasks would have several parts and others none
+    among = min(parts, p.tasks)
+    sent = blobs.repartitionById(among, F.pmod("part", F.lit(among)).cast("int")).sortWithinPartitions("part")
+    answers = at.save(sent.mapInArrow(tidy(_answer(p)), "chunk long, part long, docs long, kinds long, number long, answer binary"), "answers")
     seen = answers.agg(F.sum("kinds"), F.sum("number"), F.sum("docs")).first()
     # the padding before texts is a kind of token of its own, once a text
     kinds, number = (seen[0] or 1) - 1, (seen[1] or 0) - (seen[2] or 0)

@@ -63,7 +63,7 @@ def brute(rows, held, p):
 def test_scores_agree_with_brute_force(spark, order, small):
     rows = [(k, prose(k % 17, 12 + k % 5) + (" é漢 «x» " if k % 9 == 0 else "")) for k in range(60)] + [(60, ""), (61, None), (62, "A"), (63, " ... ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    p = DeletedInterpolation(order=order, folds=3, iterations=3, **({"chunk": 300, "part": 900} if small else {}))
+    p = DeletedInterpolation(order=order, folds=3, iterations=3, **({"chunk": 300, "part": 90, "tasks": 7} if small else {}))
     held = {r.doc_id for r in df.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(p.folds)) == 0).collect()}
     assert 5 < len(held) < 40
     want = brute(rows, held, p)
