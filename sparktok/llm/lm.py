@@ -62,13 +62,15 @@ END = T.mix(np.array([0xE0D], np.uint64))[0]
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token of texts data[off[i]:off[i+1]], and the texts' tokens as offsets."""
-    w = T.words(data, off)
-    end = np.union1d(w.end, off[1:][np.diff(off) > 0]).astype(np.int64)
+    ends = np.zeros(len(data) + 1, bool)
+    ends[T.words(data, off).end] = True
+    ends[off[1:][np.diff(off) > 0]] = True
+    end = np.flatnonzero(ends)
     start = np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)]
     out = np.empty(len(end), np.uint64)
     i = 0
     while i < len(end):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
+        j = max(i + 1, int(np.searchsorted(end, start[i] + T.BLOCK, "right")))
         part = data[start[i] : end[j - 1]]
         pow_, inv = T._powers(len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
@@ -79,6 +81,31 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(start, off)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique of unsigned keys with its inverse and counts. A key's high bits and its place are sorted as one number, which is several times as fast as sorting places."""
+    n = len(key)
+    if not n:
+        return key, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = (n - 1).bit_length()
+    low = np.uint64(max(0, int(key.max()).bit_length() + place - 64))
+    both = key >> low
+    both <<= np.uint64(place)
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    at = (both & np.uint64((1 << place) - 1)).view(np.int64)
+    s = key[at]
+    if low and (s[1:] < s[:-1]).any():
+        # keys that differ in the low bits only: few, so this sort finds long runs
+        again = np.argsort(s, kind="stable")
+        at, s = at[again], s[again]
+    first = np.ones(n, bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    which = np.empty(n, np.int64)
+    which[at] = np.cumsum(first) - 1
+    start = np.flatnonzero(first)
+    return s[start], which, np.diff(start, append=n)
+
+
 class Grams:
     """The n-grams of some texts. Each text that has tokens gives a row of positions: one before it, its tokens, its end."""
 
@@ -104,7 +131,7 @@ class Grams:
         total = np.zeros(len(at), np.uint64)
         for j in range(p.order):
             total = total + padded[at - j] * T._COEF[j]
-            key, which, count = np.unique(T.mix(total + np.uint64(j)) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+            key, which, count = distinct(T.mix(total + np.uint64(j)) >> np.uint64(64 - bits))
             self.key.append(key)
             self.which.append(which)
             self.count.append(count)
@@ -115,7 +142,7 @@ class Grams:
         more = np.flatnonzero(self.count[j][self.which[j]] > 1)
         if len(more):
             pair = self.which[j][more].astype(np.int64) * (len(self.off) - 1) + self.text[more]
-            _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
+            _, back, n = distinct(pair.view(np.uint64))
             out[more] = n[back]
         return out
 
@@ -241,7 +268,7 @@ def _answer(p: DeletedInterpolation):
                 keys.append(np.cumsum(d, dtype=np.uint64))
                 counts.append(n)
             off = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-            key, which = np.unique(np.concatenate(keys), return_inverse=True)
+            key, which, _ = distinct(np.concatenate(keys))
             total = np.bincount(which, np.concatenate(counts), len(key)).astype(np.uint64)
             if j == 0:
                 kinds, number = len(key), int(total.sum())

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -109,6 +110,33 @@ def test_packing_is_a_round_trip():
     assert len(lm.pack(np.diff(keys, prepend=np.uint64(0)))) < 4.2 * len(keys)
 
 
+def test_distinct_keys_are_those_of_unique():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        for top in (1, 20, 50, 63):
+            key = draw.integers(0, 2**top, n).astype(np.uint64) << np.uint64(63 - top)
+            # half differ from the others in the lowest bit at most, which isn't sorted with the places
+            key[n // 2 :] = key[: n - n // 2] ^ draw.integers(0, 2, n - n // 2).astype(np.uint64)
+            for got, want in zip(lm.distinct(key), np.unique(key, return_inverse=True, return_counts=True), strict=True):
+                assert got.tolist() == want.tolist()
+
+
+def test_n_grams_take_a_few_times_as_long_as_words():
+    """What grows with the table is this, twice a text."""
+    rows = pa.array([prose(k, 2000).lower() for k in range(150)])
+
+    def least(run):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    words = least(lambda: T.words(*T.buffers(rows)))
+    assert least(lambda: lm.Grams(rows, DeletedInterpolation(), 56)) < 4.5 * words
+
+
 def test_odd_tables(spark, messy, plain, empty):
     key = lambda df: sorted(f"{r.doc_id} {r.n_bytes} {r.n_tokens} {r.logprob:.6f}" for r in df.collect())
     a, b = lm_scores(messy), lm_scores(plain)
