@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktok.errors import ArgumentError, RangeError
 from sparktok.functions import columns as C
 from sparktok.functions.bytes_path import encode_binary, encode_bytes_column, split
-from sparktok.functions.unicode_pins import PROFILE_1, char_class, nfc
+from sparktok.functions.unicode_pins import JAVA_LETTERS, JAVA_NUMBERS, MAY_CHANGE, PROFILE_1, SPLIT_JAVA, UNSTABLE, char_class, nested_class, nfc
 from sparktok.operators.batch_bpe import PairTable, merge_many
 from sparktok.operators.bpe import encode_bytes, merge_long, merge_short
 from sparktok.operators.vocab import from_tokenizer_json, public_json, toy_json
@@ -118,6 +119,15 @@ def test_nfc_is_of_version_9(spark, texts):
         assert nfc(t) == norm.normalize_str(t), [hex(ord(c)) for c in t]
 
 
+def test_classes_compare_a_character_with_few_ranges(spark):
+    for pattern in (MAY_CHANGE, SPLIT_JAVA):
+        assert max(x.count("\\x{") for x in re.findall(r"\[((?:\\x\{[0-9A-F]+\}-?)+)\]", pattern)) <= 8
+    cps = spark.range(1, 0x110000).where("id not between 55296 and 57343").select(F.col("id").cast("int"), F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for ranges in (UNSTABLE, JAVA_LETTERS, JAVA_NUMBERS):
+        got = {r.id for r in cps.where(F.col("c").rlike(nested_class(ranges))).select("id").collect()}
+        assert got == {cp for a, b in ranges for cp in range(a, b + 1)}
+
+
 def test_classes_agree_with_the_encoder_over_all_codepoints():
     split_ = tokenizers.pre_tokenizers.Split(tokenizers.Regex(PROFILE_1), "isolated")
     for cp in range(1, 0x110000, 7):
