@@ -1,22 +1,26 @@
 """Encoding of BINARY input: bytes that may be no valid UTF-8 at all. A malformed byte is one opaque character.
 
 It is carried through text as a private mark above Unicode's range would be: here as a lone surrogate, which Python's
-surrogateescape gives and takes back, in no class, with no part in NFC. Overlong forms, surrogates and codepoints beyond
+surrogateescape gives and takes back, in no class, with no part in NFC. Columns are split in the JVM, as texts are, with marks
+that it can hold. Overlong forms, surrogates and codepoints beyond
 10FFFF are malformed byte by byte.
 """
 
 from __future__ import annotations
 
+import codecs
+import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bpe import encode_bytes
 from ..operators.vocab import Vocab
-from .columns import _col, _share
+from .columns import Merger, _added_names, _col, _encoded, _lists, _parts, _share
 from .unicode_pins import NL, L, N, S, char_class, nfc
 
 
@@ -112,12 +116,75 @@ def encode_binary(vocab: Vocab, data: bytes, raw: bool = False) -> list[int]:
     return out
 
 
+#: A column's malformed bytes go through the JVM as characters of a private plane, in no class and with no part in NFC either. Rows that hold such characters of their own are encoded one by one.
+_MARK = 0x10FF00
+_MARKS = re.compile(rb"\xf4\x8f([\xbe\xbf])([\x80-\xbf])")
+_ODD = (b"\xf4\x8f\xbe", b"\xf4\x8f\xbf")
+
+
+def _mark(e: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(chr(_MARK + b) for b in e.object[e.start : e.end]), e.end
+
+
+def _marked(data: pa.Array) -> pa.Array:
+    """Texts in which each malformed byte is a mark."""
+    codecs.register_error("sparktok.mark", _mark)
+    return pa.array([None if b is None else b.decode("utf-8", "sparktok.mark") for b in data.to_pylist()], pa.string())
+
+
+def _unmarked(texts: pa.Array) -> pa.Array:
+    """The bytes that some texts with marks stand for."""
+    texts = texts.cast(pa.binary())
+    found = np.flatnonzero(pc.or_(*(pc.match_substring(texts, x) for x in _ODD)).to_numpy(zero_copy_only=False))
+    if not len(found):
+        return texts
+    put = [_MARKS.sub(lambda m: bytes([(0x80 if m[1] == b"\xbe" else 0xC0) | m[2][0] & 0x3F]), texts[int(k)].as_py()) for k in found]
+    at = np.arange(len(texts))
+    at[found] = len(texts) + np.arange(len(found))
+    return pa.concat_arrays([texts, pa.array(put, pa.binary())]).take(pa.array(at))
+
+
 def encode_bytes_column(data: Column | str, vocab: Vocab, raw: bool = False, spark: SparkSession | None = None) -> Column:
     """array<int>: the ids of a BINARY column."""
-    shared, _ = _share(spark or SparkSession.active(), vocab)
+    shared, key = _share(spark or SparkSession.active(), vocab)
+    d = _col(data)
 
-    @F.arrow_udf("array<int>")
-    def run(col: pa.Array) -> pa.Array:
+    def one_by_one(col: pa.Array) -> pa.Array:
         return pa.array([None if b is None else np.array(encode_binary(shared.value, b, raw), np.int32) for b in col.to_pylist()], pa.list_(pa.int32()))
 
-    return run(_col(data))
+    if not raw and len(_added_names(vocab, raw)) < len(vocab.added):
+        # an added token that is no text may begin or end within a character
+        @F.arrow_udf("array<int>")
+        def all_of_them(col: pa.Array) -> pa.Array:
+            return one_by_one(col)
+
+        return all_of_them(d)
+
+    @F.arrow_udf("string")
+    def marked(col: pa.Array) -> pa.Array:
+        return _marked(col)
+
+    merger = Merger(shared, f"{key}-bytes", _unmarked)
+    odd = F.contains(d, F.lit(_ODD[0])) | F.contains(d, F.lit(_ODD[1]))
+    plain, held = _parts(marked(F.when(~odd, d)), vocab, raw)
+
+    def lists(plain: pa.Array, held: pa.Array | None, odd: pa.Array) -> pa.Array:
+        out = _lists(*_encoded(shared.value, merger, plain, held))
+        if odd.null_count == len(odd):
+            return out
+        at = pc.if_else(odd.is_valid(), pa.array(np.arange(len(out)) + len(out)), pa.array(np.arange(len(out))))
+        return pa.concat_arrays([out, one_by_one(odd)]).take(at)
+
+    if held is None:
+
+        @F.arrow_udf("array<int>")
+        def two(a: pa.Array, b: pa.Array) -> pa.Array:
+            return lists(a, None, b)
+
+        return two(plain, F.when(odd, d))
+
+    @F.arrow_udf("array<int>")
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return lists(a, b, c)
+
+    return three(plain, held, F.when(odd, d))

@@ -213,6 +213,59 @@ def test_bytes_that_are_no_text(full):
 
 
 def test_truncation_keeps_the_count(spark, toy):
+def test_columns_of_bytes_that_are_no_text(spark, full, toy):
+    rng = random.Random(7)
+    bad = [b"\xff", b"\xc3", b"\xe2\x82", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\x80\xbf", b"\xf0\x9f"]
+    good = [b"it's", b" 12 ", "e\u0301\u0323".encode(), "\u65e5\u672c".encode(), b"\r\n\n", b"<|im_end|>", b"<|end|>", "\u20ac".encode(), b"  ", b"word"]
+    own = ["\U0010ff80".encode(), "\U0010ffff".encode(), b"\xf4\x8f\xbe", "\U0010ff7f".encode()]
+    rows = [b"", None, *bad, *(b"".join(rng.choices(bad + good, k=rng.randint(1, 12))) for _ in range(300)), *(b"".join(rng.choices(bad + good + own, k=8)) for _ in range(60))]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(rows)], "i int, b binary").repartition(3)
+    for vocab, _ in (full, toy):
+        for raw in (False, True):
+            got = {r.i: r.ids for r in df.select("i", encode_bytes_column("b", vocab, raw).alias("ids")).collect()}
+            assert got == {i: None if b is None else encode_binary(vocab, b, raw) for i, b in enumerate(rows)}
+    # split in the JVM
+    plan = df.select(encode_bytes_column("b", toy[0]).alias("ids"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan
+
+
+def test_a_filter_on_counts_does_not_encode_twice(spark, toy, tmp_path):
+    spark.createDataFrame([(1, "ab 12<|end|>c"), (2, "a")], "k int, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for ids in (False, True):
+        over = encode(df, toy[0], ids=ids).where("n_tokens > 2").select("k", "n_tokens")
+        plan = over._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 2 and over.count() == 1
+
+
+def test_decoding_stays_in_the_worker_that_encodes(spark, toy, tmp_path):
+    spark.createDataFrame([(1, "ab 12<|end|>c")], "k int, text string").write.parquet(str(tmp_path / "t"))
+    coded = spark.read.parquet(str(tmp_path / "t")).select(C.encode("text", toy[0]).alias("ids"))
+    back = coded.select(C.decode("ids", toy[0]).alias("b"))
+    assert back._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 2
+    assert bytes(back.first().b) == b"ab 12<|end|>c"
+    assert bytes(spark.sql("select array(1L, null) x, array('1', '2') s").select(C.decode("s", toy[0]).alias("b")).first().b) == b"".join(toy[0].tokens[1:3])
+
+
+def test_batches_and_what_a_worker_remembers_are_bounded(spark, toy):
+    C.encode("text", toy[0], spark=spark)
+    assert int(spark.conf.get(C.BATCH).rstrip("b")) <= 8 << 20
+
+    class Shared:
+        value = toy[0]
+
+    before = dict(C._WORKER)
+    C._WORKER.clear()
+    for k in range(5):
+        C.Merger(Shared, f"k{k}").ids(pa.array(["ab", "c"]))
+    assert list(C._WORKER) == ["k3", "k4"]
+    C.Merger(Shared, "k3").ids(pa.array(["ab"]))
+    C.Merger(Shared, "k5").ids(pa.array(["ab"]))
+    assert list(C._WORKER) == ["k3", "k5"]
+    C._WORKER.clear()
+    C._WORKER.update(before)
+
+
     row = spark.createDataFrame([("abcabc",)], "t string").select(C.encode("t", toy[0]).alias("e")).select(C.truncate("e", 2).alias("cut"), F.size("e").alias("n")).first()
     assert len(row.cut) == 2 and row.n == len(encode_binary(toy[0], b"abcabc"))
 
