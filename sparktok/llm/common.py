@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only where that is unset, as in tests, one of our own is set."""
@@ -98,15 +100,6 @@ def marked_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Texts go to Python 8 MB at a time, not Spark's 64, so that a task's memory stays small with long texts too. A setting of the user's own is kept."""
-    if spark.conf.get(BATCH, "67108864b") in ("67108864b", "64m", "64MB"):
-        spark.conf.set(BATCH, str(8 << 20))
-
-
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under names of its own: other columns can't clash. The text is lowered by Spark."""
     bound_batches(df.sparkSession)
